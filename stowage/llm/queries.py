@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stowage.llm import langid, pieces, simhash, toxicity
+from stowage.llm import langid, pieces, simhash, toxicity, vectors
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_language_id": langid.op5_language_id,
+    "op6_nearest_neighbours": vectors.op6_nearest_neighbours,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
