@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stowage.llm import langid, pieces, simhash, toxicity, vectors
+from stowage.llm import langid, pieces, simhash, suffixes, toxicity, vectors
 
 QUERIES = {
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_language_id": langid.op5_language_id,
     "op6_nearest_neighbours": vectors.op6_nearest_neighbours,
