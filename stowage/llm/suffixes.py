@@ -28,19 +28,22 @@ from pyspark.sql import functions as F
 from stowage.llm.common import partitions, table
 
 THRESHOLD, DIGIT = 50, 24
-#: Bytes of text that are worked on together; a longer document is a chunk of its own.
-CHUNK = 8 << 20
+#: Bytes of text that are worked on together (a longer document is a chunk of its own), and chunks for each bucket of digits.
+CHUNK, SHARE = 4 << 20, 2
 #: Windows whose digits are chosen in one step.
 STEP = 1 << 16
 #: Stands for the id of a document that has none: larger than any other.
 NO_ID = (1 << 63) - 1
 
 
-def _digits(buf: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the chosen digit of each window of a buffer, and the digit's hash."""
+def _digits(buf: np.ndarray, inside: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the digits that the windows of a buffer choose, in order, and their hashes.
+
+    inside: whether the window that begins at a place is in one document.
+    """
     n, w = len(buf) - threshold + 1, threshold - DIGIT + 1
     loads = np.ndarray((len(buf) - 7,), "<u8", buf.tobytes(), strides=(1,))
-    places, hashes = np.empty(n, np.int64), np.empty(n, np.uint64)
+    places, hashes, before = [], [], -1
     low = np.uint64(STEP * 2 - 1)
     for s in range(0, n, STEP):
         e = min(n, s + STEP)
@@ -62,9 +65,13 @@ def _digits(buf: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
             size *= 2
         if size < w:
             cur = np.minimum(cur[: e - s], cur[w - size : w - size + e - s])
-        at = (cur & low).astype(np.int64)
-        places[s:e], hashes[s:e] = at + s, h[at]
-    return places, hashes
+        at = (cur & low).astype(np.int64)[inside[s:e]]
+        if len(at):
+            at = at[np.concatenate(([at[0] + s != before], at[1:] != at[:-1]))]
+            places.append(at + s)
+            hashes.append(h[at])
+            before = int(places[-1][-1]) if len(at) else before
+    return (np.concatenate(places), np.concatenate(hashes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 class Chunk:
@@ -82,15 +89,11 @@ class Chunk:
         if len(self.buf) < threshold:
             self.places, self.hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         else:
-            places, hashes = _digits(self.buf, threshold)
             long = self.sizes >= threshold
             whole = np.zeros(len(self.buf) + 1, np.int8)
             np.add.at(whole, self.starts[long], 1)
             np.add.at(whole, self.ends[long] - threshold + 1, -1)
-            inside = np.cumsum(whole[: len(places)], dtype=np.int8).astype(bool)
-            places, hashes = places[inside], hashes[inside]
-            new = np.concatenate(([True], places[1:] != places[:-1]))[: len(places)]
-            self.places, self.hashes = places[new], hashes[new]
+            self.places, self.hashes = _digits(self.buf, np.cumsum(whole, dtype=np.int8).astype(bool), threshold)
         self.doc = np.searchsorted(self.ends, self.places, side="right")
         short = self.hashes >> np.uint64(16)  # 48 bits: a false repeat is found out in the second round
         self.short, self.of = np.unique(short, return_inverse=True)
@@ -256,6 +259,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK))
+    buckets = -(-chunks // SHARE)
     parts = min(chunks, max(partitions(spark), 1))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartition(parts, "chunk")
     sent = "chunk int, bucket int, data binary"
@@ -263,16 +267,16 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(pdf, threshold)
         values = chunk.first()
-        found = [(int(pdf["chunk"].iloc[0]), b, _pack(values[s])) for b, s in chunk.split(chunk.short, chunks)]
+        found = [(int(pdf["chunk"].iloc[0]), b, _pack(values[s])) for b, s in chunk.split(chunk.short, buckets)]
         return pd.DataFrame(found, columns=["chunk", "bucket", "data"])
 
     def second(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(answers):
             return pd.DataFrame({"chunk": [], "bucket": [], "data": []})
         chunk = Chunk(pdf, threshold)
-        chunk.repeated(answers, chunks)
+        chunk.repeated(answers, buckets)
         at, found = chunk.sent, []
-        for b, s in chunk.split(chunk.short[chunk.of[at]], chunks):
+        for b, s in chunk.split(chunk.short[chunk.of[at]], buckets):
             ids = chunk.ids[chunk.doc[at[s]]].astype("<i8")
             found.append((int(pdf["chunk"].iloc[0]), b, zlib.compress(chunk.around[at[s]].tobytes() + ids.tobytes(), 1)))
         return pd.DataFrame(found, columns=["chunk", "bucket", "data"])
@@ -283,8 +287,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
         chunk = Chunk(pdf, threshold)
         cover = np.zeros(len(chunk.buf), bool)
         if len(answers):
-            chunk.repeated(answers[answers["round"] == 1], chunks)
-            cover = chunk.covered(answers[answers["round"] == 2], chunks)
+            chunk.repeated(answers[answers["round"] == 1], buckets)
+            cover = chunk.covered(answers[answers["round"] == 2], buckets)
         out = []
         for i, text in enumerate(chunk.texts):
             own = cover[chunk.starts[i] : chunk.ends[i]]
