@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stowage.llm import langid, pieces, simhash, suffixes, toxicity, vectors
+from stowage.llm import langid, lines, pieces, simhash, suffixes, toxicity, vectors
 
 QUERIES = {
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_nearest_neighbours": vectors.op6_nearest_neighbours,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
