@@ -161,9 +161,11 @@ def fit(docs: DataFrame, reference_chars: int = REFERENCE_CHARS, texts: int = RE
     return CrossParser(samples, reference_chars)
 
 
-def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
+def identify(docs: DataFrame, parser: CrossParser, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, bits) per row: score is the margin to the second language as a share of its entropy.
 
+    keep names columns that are passed on as they are.
+
     Whole texts are parsed, in blocks. A text that is null, empty or without a letter gives `und`, score 0
     and no bits. Rows with a null or repeated doc_id are scored like any other; other columns are not read.
     """
@@ -176,12 +178,14 @@ def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
                 part = batch.slice(k, 2000)
                 got = parser.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.float64())],
-                    ["doc_id", "lang_pred", "score", "bits"],
+                    [part.column("doc_id"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.float64()), *[part.column(c) for c in kept]],
+                    ["doc_id", "lang_pred", "score", "bits", *kept],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+    kept = [c for c in keep or [] if c != "doc_id"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c for c in kept if c != "text"])
+    more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double" + more)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

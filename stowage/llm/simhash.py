@@ -40,14 +40,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long. One row per input row, whatever its columns."""
+    """(doc_id, row, fp): fp holds the 64 bits as a signed long, row a hash of the text. One row per input row, whatever its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), width) for x in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fps)], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -137,7 +137,7 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) per row of docs; component_id is the least doc_id that links lead to.
+    """(doc_id, row, fp, component_id) per row of docs; component_id is the least doc_id that links lead to.
 
     Fingerprints link at `radius` or fewer differing bits; equal ones are one node, so copies cost no
     links. Rows without a doc_id count as documents but never name a component (null if no member has
@@ -149,17 +149,29 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     roots = connected_components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "row", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The documents of which each group of near duplicates keeps the one with the least doc_id.
+    """The documents of which each group of near duplicates keeps the one with the least doc_id, with all their columns.
 
-    Rows without a doc_id stay unless their group has a document with one.
+    Of several rows with that id one stays. Where no member has an id, one row of each fingerprint stays.
     """
-    groups = near_duplicates(docs.dropDuplicates(["doc_id"]), radius, width)
-    keep = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__kept"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    groups = cut(near_duplicates(docs, radius, width))
+    best = groups.where("doc_id <=> component_id").groupBy("doc_id", "fp").agg(F.min("row").alias("row"))
+    named = best.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row"))
+    keep = named.union(best.where("doc_id is null").select("doc_id", "row"))
+    keep = keep.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    twice = groups.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+
+    def among(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        return df.join(rows, df["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(df["text"]) == rows["__row"]), how)
+
+    if twice.isEmpty():
+        return among(docs, keep, "left_semi")
+    kept = among(docs, keep, "left_semi").withColumn("__text", F.xxhash64("text"))
+    again = among(kept, twice, "left_semi").dropDuplicates(["doc_id", "__text"])
+    return among(kept, twice, "left_anti").union(again).drop("__text")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
