@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stowage.operators import placement
+from stowage.plans.registry import ORACLES, QUERIES
+from stowage.sources import inventory
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Objects by primary instance."""
+    first = placement.primary(inventory.doc_oids(spark, sf_dir), inventory.inst(spark), 2)
+    return first.groupBy("primary").agg(F.count("*").alias("objects")).orderBy("primary")
