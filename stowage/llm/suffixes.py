@@ -16,12 +16,16 @@ back to the chunks. A digit or window that a third of all documents share is one
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +83,7 @@ class Chunk:
 
     def __init__(self, pdf: pd.DataFrame, threshold: int):
         rows = sorted(zip(pdf["doc_id"].fillna(NO_ID).astype("int64") if pdf["doc_id"].isna().any() else pdf["doc_id"], [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]], strict=True))
+        _release()
         self.threshold, self.side = threshold, threshold - DIGIT
         self.ids = np.array([x[0] for x in rows], np.int64)
         self.texts = [x[1] for x in rows]
@@ -162,6 +167,14 @@ class Chunk:
         return np.cumsum(change[:-1]) > 0
 
 
+def _release() -> None:
+    """Give memory that is free back to the system: several workers share an executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _pack(values: np.ndarray) -> bytes:
     steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
     return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
@@ -174,6 +187,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _answer_first(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bit for each digit that a chunk has sent: it is in two documents."""
+    _release()
     sent = [_unpack(x) for x in pdf["data"]]
     values, which = np.unique(np.concatenate(sent) >> np.uint64(1), return_inverse=True)
     twice = np.bincount(which) > 1
@@ -223,6 +237,7 @@ def _answer_second(threshold: int):
     width = DIGIT + 2 * side + 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _release()
         flat, ids, sizes = [], [], []
         for data in pdf["data"]:
             raw = zlib.decompress(data)
