@@ -100,7 +100,8 @@ class Chunk:
             np.add.at(whole, self.ends[long] - threshold + 1, -1)
             self.places, self.hashes = _digits(self.buf, np.cumsum(whole, dtype=np.int8).astype(bool), threshold)
         self.doc = np.searchsorted(self.ends, self.places, side="right")
-        short = self.hashes >> np.uint64(16)  # 48 bits: a false repeat is found out in the second round
+        # 48 bits, mixed anew as the least hashes are all small: a false repeat is found out in the second round
+        short = (self.hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
         self.short, self.of = np.unique(short, return_inverse=True)
 
     def split(self, values: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
