@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.operators import audit, inventory as _inventory, placement
+from stowage.operators import audit, changes, members, placement
+from stowage.operators import inventory as _inventory
 from stowage.plans.registry import ORACLES, QUERIES
 from stowage.sources import inventory
 
-_MODULES = (audit, _inventory, placement)
+_MODULES = (audit, changes, members, _inventory, placement)
 
 __all__ = ["ORACLES", "QUERIES", "entry"]
 
