@@ -6,12 +6,13 @@ nearest to a constant in the exclusive-or metric, so that a signature costs an `
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut, partitions, table
+from stowage.llm.common import cut, fresh, partitions, table
 from stowage.llm.components import connected_components
 
 #: Characters of a shingle, bands and rows of a band: at similarity 0.8, 98.6 % of pairs share a band; at 0.9, 99.96 %.
@@ -67,6 +68,28 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return text.select("h", F.encode("line", "UTF-32").alias("p")).dropDuplicates(["h"])
 
 
+def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(h, k0 .. k3): of each line 256 further MinHashes, one bit of each.
+
+    Two lines of similarity J agree in each bit with probability (1 + J) / 2.
+    """
+    rnd = random.Random(21)
+    constants = [rnd.getrandbits(31) for _ in range(32)]
+    points = texts.select("h", "p", _count(F.col("p"), shingle).alias("n"))
+    blocks = points.select("h", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("i"))
+    blocks = blocks.select("h", *[_hash(F.col("p"), F.least(F.col("i") + j, F.col("n") - 1), shingle).alias(f"y{j}") for j in range(STEP)])
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    hashed = blocks.select("h", "part", *[F.shiftright(F.xxhash64(f"y{j}", "part"), 32).cast("int").alias(f"x{j}") for j in range(STEP)])
+    least = [F.min(F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)])).alias(f"s{k}") for k, c in enumerate(constants)]
+    found = hashed.groupBy("h", "part").agg(*least)
+    bits = F.lit(0).cast("long")
+    for k in range(32):
+        bits = bits.bitwiseOR(F.shiftleft(F.col(f"s{k}").bitwiseAND(1).cast("long"), k))
+    found = found.select("h", "part", bits.alias("bits"))
+    words = [F.max(F.when(F.col("part") == 2 * w, F.col("bits"))).bitwiseOR(F.shiftleft(F.max(F.when(F.col("part") == 2 * w + 1, F.col("bits"))), 32)).alias(f"k{w}") for w in range(4)]
+    return found.groupBy("h").agg(*words)
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines' shingle sets have at least the Jaccard similarity."""
 
@@ -82,35 +105,58 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.where(F.exists(counts, lambda c: c["common"] >= F.lit(similarity) * (c["both"] - c["common"]))).select("a", "b")
 
 
+def candidates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, h, n, first, center): lines by bucket, of the buckets with several, and, with a null key, lines with n over 1.
+
+    center is the bucket's most frequent line.
+    """
+    known = signatures(docs, shingle, bands, rows)
+    # lines with n over 1 get a bucket of their own, so that all comes from one pass over the signatures
+    alone = F.struct(F.xxhash64(F.lit(-1), "h").alias("key"), F.lit(True).alias("alone"))
+    shared = F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(False).alias("alone")))
+    member = known.select(F.explode(F.when(F.col("n") > 1, F.concat(shared, F.array(alone))).otherwise(shared)).alias("x"), "h", "n", "first")
+    member = member.select("x.key", "x.alone", "h", "n", "first").repartition(partitions(docs.sparkSession), "key")
+    bucket = member.groupBy("key").agg(F.count("*").alias("members"), F.max_by("h", "n").alias("center"), F.max("alone").alias("some"), F.min("first").alias("least"))
+    # `least` is asked for so that both sides of the join read the same columns and share one exchange
+    bucket = bucket.where((F.col("members") > 1) | F.col("some")).where(F.col("least") >= F.lit(-(1 << 63))).select("key", "center")
+    met = member.join(bucket, "key")
+    return met.select(F.when(~F.col("alone"), F.col("key")).alias("key"), "h", "n", "first", "center")
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
     """(h, root, first, keeper) for each line hash that more than one document or line shares.
 
     Lines link if their shingle sets' similarity is at least `similarity` and a band of their signatures agrees.
     In each bucket all members are compared with its most frequent line, then those that are still in
-    different components with each other: every link between components is found without all pairs.
+    different components with each other. The second comparison looks at 256 bits first: pairs of the
+    similarity asked for differ in too many of them, three deviations over the mean, once in a thousand.
     root: the component; first: least doc_id of the line; keeper: whether it is the component's one line.
     """
-    spark = docs.sparkSession
-    known = cut(signatures(docs, shingle, bands, rows))
-    member = known.select(F.explode("keys").alias("key"), "h", "n").repartition(partitions(spark), "key")
-    bucket = member.groupBy("key").agg(F.count("*").alias("members"), F.max_by("h", "n").alias("center")).where("members > 1").select("key", "center")
-    member = cut(member.join(bucket, "key").select("key", "h", "center"))
+    found = cut(candidates(docs, shingle, bands, rows))
+    member = found.where("key is not null")
     star = member.where("h <> center").select(F.col("center").alias("a"), F.col("h").alias("b")).distinct()
-    needed = member.select("h").distinct().join(known.select("h", F.col("first").alias("doc_id")), "h")
-    texts = cut(_texts(docs, cut(needed)))
+    needed = cut(member.groupBy("h").agg(F.min("first").alias("doc_id")))
+    texts = cut(_texts(docs, needed))
     links = cut(_similar(star, texts, shingle, similarity))
     roots = cut(connected_components(links))
 
     label = member.join(roots, member["h"] == roots["node"], "left").select("key", "h", F.coalesce("root", "h").alias("label"))
-    mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
     label = cut(label.join(mixed, "key"))
-    other = label.select("key", F.col("h").alias("b"), F.col("label").alias("lb"))
-    rest = label.select("key", F.col("h").alias("a"), F.col("label").alias("la")).join(other, "key").where("la < lb").select("a", "b").distinct()
+    some = label.select("h").distinct().join(texts, "h")
+    label = cut(label.join(sketches(some, shingle), "h"))
+    other = label.select("key", F.col("h").alias("b"), F.col("label").alias("lb"), *[F.col(f"k{w}").alias(f"o{w}") for w in range(4)])
+    differ = sum((F.bit_count(F.col(f"k{w}").bitwiseXOR(F.col(f"o{w}"))) for w in range(1, 4)), F.bit_count(F.col("k0").bitwiseXOR(F.col("o0"))))
+    share = (1 - similarity) / 2
+    most = math.ceil(256 * share + 3 * (256 * share * (1 - share)) ** 0.5)
+    mine = label.withColumnsRenamed({"h": "a", "label": "la"})
+    rest = mine.join(other, (mine["key"] == other["key"]) & (F.col("la") < F.col("lb")) & (differ <= most)).select("a", "b").distinct()
     rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = cut(_similar(rest, texts, shingle, similarity))
     if not more.isEmpty():
         roots = cut(connected_components(links.union(more)))
 
+    known = found.groupBy("h").agg(F.min("first").alias("first"), F.max("n").alias("n"))
     shared = known.join(roots, known["h"] == roots["node"], "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "first")
     least = shared.groupBy("root").agg(F.min("first").alias("least"))
     keeper = shared.join(least, "root").where("first = least").groupBy("root").agg(F.min("h").alias("kept"))
@@ -141,10 +187,11 @@ def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     A null text stays null. Two rows of one doc_id and one text are treated alike; columns beside doc_id and
     text are passed on. No documents give no rows.
     """
-    lost = removals(docs, **parameters).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("removed").alias("__removed"))
-    own = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__text", F.xxhash64("text"))
-    joined = own.join(lost, (F.col("__own") == F.col("__id")) & (F.col("__text") == F.col("__row")), "left")
-    new = F.when(F.col("text").isNotNull(), kept_text(F.col("text"), F.col("__removed")))
+    key, row, removed = fresh("key"), fresh("row"), fresh("removed")
+    lost = removals(docs, **parameters).select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("removed").alias(removed))
+    own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn(row, F.xxhash64("text"))
+    joined = own.join(lost, [key, row], "left")
+    new = F.when(F.col("text").isNotNull(), kept_text(F.col("text"), F.col(removed)))
     return joined.withColumn("text", new).select(*docs.columns)
 
 
