@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut, table
+from stowage.llm.common import cut, fresh, table
 
 #: Words of a shingle, and similarity from which a window counts.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -128,8 +128,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents in which find() finds no item, with all their columns."""
-    found = find(docs, benchmark, similarity).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row")), "left_anti")
+    key, row = fresh("key"), fresh("row")
+    found = find(docs, benchmark, similarity).select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[key]) & (F.xxhash64(docs["text"]) == found[row]), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

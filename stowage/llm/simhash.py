@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut, partitions, table
+from stowage.llm.common import cut, fresh, partitions, table
 from stowage.llm.components import connected_components
 
 #: Fingerprints of one bucket that are compared in one piece; larger buckets go in pairs of blocks.
@@ -161,17 +161,18 @@ def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     best = groups.where("doc_id <=> component_id").groupBy("doc_id", "fp").agg(F.min("row").alias("row"))
     named = best.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row"))
     keep = named.union(best.where("doc_id is null").select("doc_id", "row"))
-    keep = keep.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
-    twice = groups.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    key, row, text = fresh("key"), fresh("row"), fresh("text")
+    keep = keep.select(F.col("doc_id").alias(key), F.col("row").alias(row))
+    twice = groups.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias(key), F.col("row").alias(row))
 
     def among(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-        return df.join(rows, df["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(df["text"]) == rows["__row"]), how)
+        return df.join(rows, df["doc_id"].eqNullSafe(rows[key]) & (F.xxhash64(df["text"]) == rows[row]), how)
 
     if twice.isEmpty():
         return among(docs, keep, "left_semi")
-    kept = among(docs, keep, "left_semi").withColumn("__text", F.xxhash64("text"))
-    again = among(kept, twice, "left_semi").dropDuplicates(["doc_id", "__text"])
-    return among(kept, twice, "left_anti").union(again).drop("__text")
+    kept = among(docs, keep, "left_semi").withColumn(text, F.xxhash64("text"))
+    again = among(kept, twice, "left_semi").dropDuplicates(["doc_id", text])
+    return among(kept, twice, "left_anti").union(again).drop(text)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

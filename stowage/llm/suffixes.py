@@ -82,7 +82,7 @@ class Chunk:
     """Documents that are worked on together, in the order of their ids, and the digits of their windows."""
 
     def __init__(self, pdf: pd.DataFrame, threshold: int):
-        rows = sorted(zip(pdf["doc_id"].fillna(NO_ID).astype("int64") if pdf["doc_id"].isna().any() else pdf["doc_id"], [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]], strict=True))
+        rows = sorted(zip(pdf["doc_id"], [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]], strict=True))
         _release()
         self.threshold, self.side = threshold, threshold - DIGIT
         self.ids = np.array([x[0] for x in rows], np.int64)
@@ -106,6 +106,8 @@ class Chunk:
 
     def split(self, values: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         """Buckets of sorted short hashes, and which of them fall there."""
+        if not len(values):
+            return
         bucket = (values >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)
         order = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(bucket)]
         for s, e in zip(order, [*order[1:], len(bucket)], strict=True):
@@ -272,7 +274,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
     if not DIGIT < threshold <= DIGIT + 63:
         raise ValueError(f"threshold must be from {DIGIT + 1} to {DIGIT + 63}")
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK))
     buckets = -(-chunks // SHARE)
@@ -310,10 +312,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
             own = cover[chunk.starts[i] : chunk.ends[i]]
             edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
             kept = np.frombuffer(text, np.uint8)[~own].tobytes() if len(edge) else text
-            doc_id = None if chunk.ids[i] == NO_ID else int(chunk.ids[i])
-            out.append((doc_id, len(text), edge[::2].tolist(), edge[1::2].tolist(), kept if texts else None, hashlib.sha256(kept).hexdigest()))
-        out = pd.DataFrame(out, columns=["doc_id", "n_bytes", "begins", "ends", "kept", "kept_sha256"])
-        return out.astype({"doc_id": "Int64"})
+            out.append((chunk.ids[i], len(text), edge[::2].tolist(), edge[1::2].tolist(), kept if texts else None, hashlib.sha256(kept).hexdigest()))
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "begins", "ends", "kept", "kept_sha256"])
 
     digits = rows.groupBy("chunk").applyInPandas(first, sent)
     bits = digits.groupBy("bucket").applyInPandas(_answer_first, sent)
@@ -321,7 +321,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
     masks = around.groupBy("bucket").applyInPandas(_answer_second(threshold), sent)
     answers = bits.withColumn("round", F.lit(1)).union(masks.withColumn("round", F.lit(2)))
     out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(third, "doc_id long, n_bytes long, begins array<int>, ends array<int>, kept binary, kept_sha256 string")
-    return out.withColumn("spans", F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end"))).select("doc_id", "n_bytes", "spans", "kept", "kept_sha256")
+    out = out.withColumn("spans", F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end")))
+    return out.select(F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id"), "n_bytes", "spans", "kept", "kept_sha256")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
