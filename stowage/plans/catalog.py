@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.operators import audit, changes, decisions, members, placement
+from stowage.operators import audit, changes, decisions, files, members, placement
 from stowage.operators import inventory as _inventory
 from stowage.plans.registry import ORACLES, QUERIES
 from stowage.sources import inventory
 
-_MODULES = (audit, changes, decisions, members, _inventory, placement)
+_MODULES = (audit, changes, decisions, files, members, _inventory, placement)
 
 __all__ = ["ORACLES", "QUERIES", "entry"]
 
