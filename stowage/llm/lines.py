@@ -60,12 +60,18 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return found.select("h", "first", "n", F.array(*keys).alias("keys"))
 
 
-def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(h, p): one line of each hash in needed (h, doc_id), four bytes for each character."""
+def _texts(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """(h, line, size): one line of each hash in needed (h, doc_id), and how many different shingles it has."""
     if needed.count() <= BROADCAST:  # beyond it, both sides are dealt by hash
         needed = F.broadcast(needed)
-    text = _distinct_lines(docs).join(needed, ["h", "doc_id"])
-    return text.select("h", F.encode("line", "UTF-32").alias("p")).dropDuplicates(["h"])
+    text = _distinct_lines(docs).join(needed, ["h", "doc_id"]).dropDuplicates(["h"])
+    return text.select("h", "line", F.size(_shingles("line", shingle)).alias("size"))
+
+
+def _shingles(line: str, shingle: int) -> Column:
+    """Hashes of a line's different shingles. A bound value is read in place; a column would be copied for every shingle."""
+    found = F.transform(F.array(F.encode(line, "UTF-32")), lambda p: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(p, shingle) - 1), lambda i: _hash(p, i, shingle))))
+    return F.element_at(found, 1)
 
 
 def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -75,7 +81,7 @@ def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
     rnd = random.Random(21)
     constants = [rnd.getrandbits(31) for _ in range(32)]
-    points = texts.select("h", "p", _count(F.col("p"), shingle).alias("n"))
+    points = texts.select("h", F.encode("line", "UTF-32").alias("p")).withColumn("n", _count(F.col("p"), shingle))
     blocks = points.select("h", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("i"))
     blocks = blocks.select("h", *[_hash(F.col("p"), F.least(F.col("i") + j, F.col("n") - 1), shingle).alias(f"y{j}") for j in range(STEP)])
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
@@ -93,14 +99,10 @@ def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines' shingle sets have at least the Jaccard similarity."""
 
-    def shingles(points: str) -> Column:
-        # a bound value is read in place, a column would be copied for every shingle
-        found = F.transform(F.array(points), lambda p: F.array_distinct(F.transform(F.sequence(F.lit(0), _count(p, shingle) - 1), lambda i: _hash(p, i, shingle))))
-        return F.element_at(found, 1)
-
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("p").alias("pa")), "a").join(texts.select(F.col("h").alias("b"), F.col("p").alias("pb")), "b")
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("size").alias("sa")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("size").alias("sb")), "b")
+    both = both.where(F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb"))
     # each step binds what the next one reads, so that nothing is evaluated twice
-    sets = F.array(F.struct(shingles("pa").alias("x"), shingles("pb").alias("y")))
+    sets = F.array(F.struct(_shingles("la", shingle).alias("x"), _shingles("lb", shingle).alias("y")))
     counts = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("common"), (F.size(s["x"]) + F.size(s["y"])).alias("both")))
     return both.where(F.exists(counts, lambda c: c["common"] >= F.lit(similarity) * (c["both"] - c["common"]))).select("a", "b")
 
@@ -136,7 +138,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     member = found.where("key is not null")
     star = member.where("h <> center").select(F.col("center").alias("a"), F.col("h").alias("b")).distinct()
     needed = cut(member.groupBy("h").agg(F.min("first").alias("doc_id")))
-    texts = cut(_texts(docs, needed))
+    texts = cut(_texts(docs, needed, shingle))
     links = cut(_similar(star, texts, shingle, similarity))
     roots = cut(connected_components(links))
 
@@ -144,13 +146,13 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
     label = cut(label.join(mixed, "key"))
     some = label.select("h").distinct().join(texts, "h")
-    label = cut(label.join(sketches(some, shingle), "h"))
-    other = label.select("key", F.col("h").alias("b"), F.col("label").alias("lb"), *[F.col(f"k{w}").alias(f"o{w}") for w in range(4)])
+    label = cut(label.join(sketches(some, shingle).join(texts.select("h", "size"), "h"), "h"))
+    other = label.select("key", F.col("h").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), *[F.col(f"k{w}").alias(f"o{w}") for w in range(4)])
     differ = sum((F.bit_count(F.col(f"k{w}").bitwiseXOR(F.col(f"o{w}"))) for w in range(1, 4)), F.bit_count(F.col("k0").bitwiseXOR(F.col("o0"))))
     share = (1 - similarity) / 2
     most = math.ceil(256 * share + 3 * (256 * share * (1 - share)) ** 0.5)
     mine = label.withColumnsRenamed({"h": "a", "label": "la"})
-    rest = mine.join(other, (mine["key"] == other["key"]) & (F.col("la") < F.col("lb")) & (differ <= most)).select("a", "b").distinct()
+    rest = mine.join(other, (mine["key"] == other["key"]) & (F.col("la") < F.col("lb")) & (differ <= most) & (F.least("size", "sb") >= F.lit(similarity) * F.greatest("size", "sb"))).select("a", "b").distinct()
     rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = cut(_similar(rest, texts, shingle, similarity))
     if not more.isEmpty():
