@@ -21,6 +21,8 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 8, 6, 3, 0.8
 STEP = 8
 #: Rows of two longs that are broadcast at most.
 BROADCAST = 1_000_000
+#: Bytes of lines that are broadcast at most to the pairs that ask for them.
+TEXT_BYTES = 32 << 20
 
 
 def lines_of(text: Column) -> Column:
@@ -139,6 +141,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     star = member.where("h <> center").select(F.col("center").alias("a"), F.col("h").alias("b")).distinct()
     needed = cut(member.groupBy("h").agg(F.min("first").alias("doc_id")))
     texts = cut(_texts(docs, needed, shingle))
+    if (texts.agg(F.sum(F.octet_length("line"))).first()[0] or 0) <= TEXT_BYTES:  # beyond it, pairs are dealt by hash
+        texts = F.broadcast(texts)
     links = cut(_similar(star, texts, shingle, similarity))
     roots = cut(connected_components(links))
 
