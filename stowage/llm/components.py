@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges: two columns of one orderable type. Self-links and repeated links are allowed; a link with
     a null end is ignored. No edges give no rows.
     """
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"{a} is not null and {b} is not null" if (a, b) == ("a", "b") else "a is not null")
+    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     own = e.where("a = b")
     e = cut(e.where("a <> b").distinct())
     before = None
