@@ -10,7 +10,7 @@ from stowage.sources import inventory as inv
 
 # --- identifiers and scalar functions
 
-_NAMES = ["a", "a.b", ".", "..", "a/b", "", "x" * 128, "x" * 129, "shoal.map", "ord.1", "é", "A_b-c"]
+_NAMES = ["a", "a.b", ".", "..", "a/b", "", "x" * 128, "x" * 129, "sys.map", "ord.1", "é", "A_b-c"]
 _NAMES_SQL = f"n AS (SELECT * FROM (VALUES {', '.join(f'({x!r})' for x in _NAMES)}) t(oid))"
 
 
@@ -19,11 +19,12 @@ def oid_ok(oid: Column) -> Column:
     return oid.rlike(r"^[A-Za-z0-9._-]{1,128}\z") & ~oid.isin(".", "..")
 
 
-def reserved(oid: Column) -> Column:
-    return F.startswith(oid, F.lit("shoal."))
+def reserved(oid: Column, prefix: str = "sys.") -> Column:
+    """Names that a store keeps for itself, by a prefix that the deployment sets."""
+    return F.startswith(oid, F.lit(prefix))
 
 
-@query("p1_names", f"WITH {_NAMES_SQL} SELECT oid, regexp_full_match(oid, '[A-Za-z0-9._-]{{1,128}}') AND oid NOT IN ('.', '..') AS ok, starts_with(oid, 'shoal.') AS reserved FROM n")
+@query("p1_names", f"WITH {_NAMES_SQL} SELECT oid, regexp_full_match(oid, '[A-Za-z0-9._-]{{1,128}}') AND oid NOT IN ('.', '..') AS ok, starts_with(oid, 'sys.') AS reserved FROM n")
 def p1_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(x,) for x in _NAMES], "oid string")
     return rows.select("oid", oid_ok(F.col("oid")).alias("ok"), reserved(F.col("oid")).alias("reserved"))
