@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: MinHash of character shingles, banding, exact Jaccard, connected components.
 
-Only DataFrame functions are used. A line's shingles are hashed once each; the k-th MinHash is the hash
-nearest to a constant in the exclusive-or metric, so that a signature costs an `xor` and a minimum each.
+Only DataFrame functions are used. A line's shingles are hashed once each, to 32 bits; the k-th MinHash is the
+least of a * x + b modulo 2^32 with a and b of its own, so that a signature costs a product and a minimum each.
 """
 
 from __future__ import annotations
@@ -52,11 +52,12 @@ def _count(points: Column, shingle: int) -> Column:
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(h, first, n, keys): for each different line its hash, least doc_id, number of documents and band keys."""
     rnd = random.Random(20)
-    constants = [rnd.getrandbits(31) for _ in range(bands * rows)]
+    constants = [(rnd.getrandbits(31) | 1, rnd.getrandbits(31)) for _ in range(bands * rows)]  # odd: no two hashes fall together
     points = _distinct_lines(docs).select("doc_id", "h", F.encode("line", "UTF-32").alias("p")).withColumn("n", _count(F.col("p"), shingle))
     blocks = points.select("doc_id", "h", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("i"))
-    hashed = blocks.select("doc_id", "h", "i", *[F.shiftright(_hash(F.col("p"), F.least(F.col("i") + j, F.col("n") - 1), shingle), 32).cast("int").alias(f"x{j}") for j in range(STEP)])
-    least = [F.min(F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)])).alias(f"s{k}") for k, c in enumerate(constants)]
+    hashed = blocks.select("doc_id", "h", "i", *[F.shiftrightunsigned(_hash(F.col("p"), F.least(F.col("i") + j, F.col("n") - 1), shingle), 32).alias(f"x{j}") for j in range(STEP)])
+    mixed = [[(F.col(f"x{j}") * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(F.lit((1 << 32) - 1)) for j in range(STEP)] for a, b in constants]  # below 2^63
+    least = [F.min(F.least(*x)).alias(f"s{k}") for k, x in enumerate(mixed)]
     found = hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), *least)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"s{b * rows + r}") for r in range(rows)]) for b in range(bands)]
     return found.select("h", "first", "n", F.array(*keys).alias("keys"))

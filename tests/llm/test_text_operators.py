@@ -354,6 +354,16 @@ def test_lines(spark, corpus):
     assert lines.deduplicate(frame(spark, []).where("false")).count() == 0
 
 
+def test_similar_lines_share_a_band(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(3000):
+        x = "".join(chr(rng.randrange(97, 123)) for _ in range(47))
+        rows += [(2 * k, x[:43]), (2 * k + 1, x[4:])]  # 36 shingles each, 32 in common: 0.8
+    keys = {r["first"]: set(r["keys"]) for r in lines.signatures(frame(spark, rows)).collect()}
+    assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(3000)) >= 0.975 * 3000  # 0.986 expected
+
+
 def test_lines_edges(spark, corpus):
     out = lines.deduplicate(frame(spark, corpus))
     assert out.columns == frame(spark, []).columns and out.count() == len(corpus)
