@@ -6,7 +6,6 @@ least of a * x + b modulo 2^32 with a and b of its own, so that a signature cost
 
 from __future__ import annotations
 
-import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +18,8 @@ from stowage.llm.components import connected_components
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 6, 3, 0.8
 #: Shingles that are hashed for one row of the signature aggregation.
 STEP = 8
+#: Words of 64 bits in which two lines' shingles are compared before the shingles are.
+WORDS = 8
 #: Rows of two longs that are broadcast at most.
 BROADCAST = 1_000_000
 #: Bytes of lines that are broadcast at most to the pairs that ask for them.
@@ -77,26 +78,15 @@ def _shingles(line: str, shingle: int) -> Column:
     return F.element_at(found, 1)
 
 
-def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(h, k0 .. k3): of each line 256 further MinHashes, one bit of each.
+def parities(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(h, k0 .. k7): of each line 512 bits; a bit is the parity of the number of different shingles that fall to it.
 
-    Two lines of similarity J agree in each bit with probability (1 + J) / 2.
+    Each bit in which two lines differ stands for at least one shingle that only one of them has, so the
+    number of such bits is never over the size of the sets' symmetric difference.
     """
-    rnd = random.Random(21)
-    constants = [rnd.getrandbits(31) for _ in range(32)]
-    points = texts.select("h", F.encode("line", "UTF-32").alias("p")).withColumn("n", _count(F.col("p"), shingle))
-    blocks = points.select("h", "p", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("i"))
-    blocks = blocks.select("h", *[_hash(F.col("p"), F.least(F.col("i") + j, F.col("n") - 1), shingle).alias(f"y{j}") for j in range(STEP)])
-    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    hashed = blocks.select("h", "part", *[F.shiftright(F.xxhash64(f"y{j}", "part"), 32).cast("int").alias(f"x{j}") for j in range(STEP)])
-    least = [F.min(F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)])).alias(f"s{k}") for k, c in enumerate(constants)]
-    found = hashed.groupBy("h", "part").agg(*least)
-    bits = F.lit(0).cast("long")
-    for k in range(32):
-        bits = bits.bitwiseOR(F.shiftleft(F.col(f"s{k}").bitwiseAND(1).cast("long"), k))
-    found = found.select("h", "part", bits.alias("bits"))
-    words = [F.max(F.when(F.col("part") == 2 * w, F.col("bits"))).bitwiseOR(F.shiftleft(F.max(F.when(F.col("part") == 2 * w + 1, F.col("bits"))), 32)).alias(f"k{w}") for w in range(4)]
-    return found.groupBy("h").agg(*words)
+    each = texts.select("h", F.explode(_shingles("line", shingle)).alias("s"))
+    each = each.select("h", F.shiftright("s", 6).bitwiseAND(F.lit(WORDS - 1)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    return each.groupBy("h").agg(*[F.bit_xor(F.when(F.col("w") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"k{w}") for w in range(WORDS)])
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -133,8 +123,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
 
     Lines link if their shingle sets' similarity is at least `similarity` and a band of their signatures agrees.
     In each bucket all members are compared with its most frequent line, then those that are still in
-    different components with each other. The second comparison looks at 256 bits first: pairs of the
-    similarity asked for differ in too many of them, three deviations over the mean, once in a thousand.
+    different components with each other. The second comparison looks at 512 bits first, which bound the
+    similarity from above: no pair of the similarity asked for is passed over.
     root: the component; first: least doc_id of the line; keeper: whether it is the component's one line.
     """
     found = cut(candidates(docs, shingle, bands, rows))
@@ -151,13 +141,13 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
     label = cut(label.join(mixed, "key"))
     some = label.select("h").distinct().join(texts, "h")
-    label = cut(label.join(sketches(some, shingle).join(texts.select("h", "size"), "h"), "h"))
-    other = label.select("key", F.col("h").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), *[F.col(f"k{w}").alias(f"o{w}") for w in range(4)])
-    differ = sum((F.bit_count(F.col(f"k{w}").bitwiseXOR(F.col(f"o{w}"))) for w in range(1, 4)), F.bit_count(F.col("k0").bitwiseXOR(F.col("o0"))))
-    share = (1 - similarity) / 2
-    most = math.ceil(256 * share + 3 * (256 * share * (1 - share)) ** 0.5)
+    label = cut(label.join(parities(some, shingle).join(texts.select("h", "size"), "h"), "h"))
+    other = label.select("key", F.col("h").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), *[F.col(f"k{w}").alias(f"o{w}") for w in range(WORDS)])
+    differ = sum((F.bit_count(F.col(f"k{w}").bitwiseXOR(F.col(f"o{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("k0").bitwiseXOR(F.col("o0"))))
+    # of sets of a and b elements with J >= s, at most (a + b)(1 - s) / (1 + s) are in only one; the rest is for rounding
+    close = differ * F.lit(1 + similarity) <= (F.col("size") + F.col("sb")) * F.lit(1 - similarity) + F.lit(1e-6)
     mine = label.withColumnsRenamed({"h": "a", "label": "la"})
-    rest = mine.join(other, (mine["key"] == other["key"]) & (F.col("la") < F.col("lb")) & (differ <= most) & (F.least("size", "sb") >= F.lit(similarity) * F.greatest("size", "sb"))).select("a", "b").distinct()
+    rest = mine.join(other, (mine["key"] == other["key"]) & (F.col("la") < F.col("lb")) & close & (F.least("size", "sb") >= F.lit(similarity) * F.greatest("size", "sb"))).select("a", "b").distinct()
     rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = cut(_similar(rest, texts, shingle, similarity))
     if not more.isEmpty():

@@ -364,6 +364,23 @@ def test_similar_lines_share_a_band(spark):
     assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(3000)) >= 0.975 * 3000  # 0.986 expected
 
 
+def test_no_similar_pair_of_a_bucket_is_passed_over(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for k in range(200):
+        x = "".join(chr(rng.randrange(97, 123)) for _ in range(17))
+        rows += [(10 * k, "".join(chr(rng.randrange(97, 123)) for _ in range(16))), (10 * k + 1, x[:16]), (10 * k + 2, x[1:])]  # 9 shingles each, 8 in common: 0.8
+    docs = frame(spark, rows)
+    # each three are one bucket, the first its most frequent line
+    known = docs.selectExpr("doc_id div 10 as key", "xxhash64(text) as h", "doc_id % 10 = 0 as most", "doc_id as first")
+    center = known.where("most").selectExpr("key", "h as center")
+    found = known.join(center, "key").selectExpr("key", "h", "1 as n", "first", "center")
+    monkeypatch.setattr(lines, "candidates", lambda *_: found)
+    root = {r["first"]: r.root for r in lines.components(docs).collect()}
+    assert sorted(root) == [10 * k + j for k in range(200) for j in (1, 2)]
+    assert all(root[10 * k + 1] == root[10 * k + 2] for k in range(200))
+
+
 def test_lines_edges(spark, corpus):
     out = lines.deduplicate(frame(spark, corpus))
     assert out.columns == frame(spark, []).columns and out.count() == len(corpus)
