@@ -1,12 +1,10 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, Hamming blocks, exact weighted shingles.
+"""Benchmark passages in documents: places of shared shingles, windows that hold enough of them, exact weighted shingles.
 
 Only DataFrame functions are used.
 
-1. A window can only be similar to an item if it shares a shingle with one. Places of documents that share
-   none are passed over; each shared shingle gives the window that lines up with the item.
-2. The 64-bit SimHash of every such window meets those of the items of its size in four blocks of 16 bits:
-   words that differ in at most 15 bits differ in at most 3 bits of some block, and each item is filed in each
-   block under all 697 keys that far from its own. So every fingerprint within the radius is found.
+1. Places of documents whose shingle no item has are passed over; the others are gathered by document and item.
+2. Every item-sized window that holds as many of an item's places as the similarity takes is looked at,
+   wherever in the item its shingles come from.
 3. Shingles with their multiplicities decide, exactly.
 """
 
@@ -83,6 +81,37 @@ def hamming_candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
     return met.select("w", "item_id").distinct()
 
 
+def _common(window: Column) -> Column:
+    """Shingles that a window shares with the item, with their multiplicities; window holds (at, s, times)."""
+    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("seen"), F.lit(0).alias("n"))
+
+    def seen(a: Column, x: Column) -> Column:
+        return F.when((a["seen"] > 0) & (a["s"] == x["s"]), a["seen"] + 1).otherwise(F.lit(1))
+
+    same = F.array_sort(F.transform(window, lambda x: F.struct(x["s"].alias("s"), x["times"].alias("times"))))
+    return F.aggregate(same, zero, lambda a, x: F.struct(x["s"].alias("s"), seen(a, x).alias("seen"), (a["n"] + (seen(a, x) <= x["times"]).cast("int")).alias("n")), lambda a: a["n"])
+
+
+def _windows() -> Column:
+    """(similarity, back) of every window that holds `need` of the hits; back is its start, negated.
+
+    Windows that start after one hit and up to the next, i, hold i and those after it: with the one `need`
+    places on, they hold enough.
+    """
+    at = lambda i: F.get("hits", i)["at"]
+
+    def starts(i: Column) -> Column:
+        low = F.greatest(at(i + F.col("need") - 1) - F.col("own") + 1, F.coalesce(at(i - 1) + 1, F.lit(0)), F.lit(0))
+        high = F.least(at(i), F.col("n") - F.col("width") + 1 - F.col("own"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    def judged(i: Column, start: Column) -> Column:
+        common = F.array(_common(F.filter(F.slice("hits", i + 1, F.col("own")), lambda x: x["at"] < start + F.col("own"))))
+        return F.element_at(F.transform(common, lambda c: F.struct((c / (F.col("all") - c)).alias("similarity"), (-start).alias("back"))), 1)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("hits") - F.col("need")), lambda i: F.transform(starts(i), lambda start: judged(i, start))))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, row, item_id, start, similarity) for each document and item of which a window is similar.
 
@@ -92,9 +121,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     shingle, of all their words. A repeated item_id counts by each of its texts. Empty tables give no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long"), words_of(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
-    items = cut(items.withColumn("width", F.least(F.size("words"), F.lit(SHINGLE))).distinct())
-    known = items.select("item_id", "words", "width", F.posexplode(_shingles(F.col("words"), F.col("width"))).alias("off", "s"))
-    known = known.select(F.size("words").alias("size"), "width", "off", "s").distinct()
+    items = cut(items.select("item_id", F.xxhash64("words").alias("t"), "words", F.least(F.size("words"), F.lit(SHINGLE)).alias("width")).distinct())
+    known = items.select("t", "words", "width").dropDuplicates(["t"]).select("t", F.size("words").alias("size"), "width", F.explode(_shingles(F.col("words"), F.col("width"))).alias("s"))
+    known = cut(known.groupBy("t", "size", "width", "s").agg(F.count("*").cast("int").alias("times")))
     widths = [x.width for x in items.select("width").distinct().collect()]  # five at most
     if not widths:
         return docs.sparkSession.createDataFrame([], "doc_id long, row long, item_id long, start int, similarity double")
@@ -105,24 +134,17 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     for width in widths:
         placed = own.where(F.size("words") >= width).select("doc_id", "row", F.size("words").alias("n"), "words", F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("at"))
         placed = placed.select("doc_id", "row", "n", "at", _shingle(F.col("words"), F.col("at"), width).alias("s"))
-        wanted = known.where(F.col("width") == width).drop("width")
-        met = placed.join(F.broadcast(wanted) if small else wanted, "s")
-        met = met.select("doc_id", "row", "size", F.greatest(F.least(F.col("at") - F.col("off"), F.col("n") - F.col("size")), F.lit(0)).alias("start"), F.lit(width).alias("width"))
+        wanted = known.where(F.col("width") == width)
+        met = placed.join(F.broadcast(wanted) if small else wanted, "s").select("doc_id", "row", "t", "size", "width", "n", "at", "s", "times")
         hits = met if hits is None else hits.union(met)
-    hits = cut(hits.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "size", "width")).alias("windows")))
-    back = F.broadcast(hits) if hits.count() <= BROADCAST // 4 else hits
-    cuts = own.join(back.withColumnsRenamed({"doc_id": "id"}), F.col("doc_id").eqNullSafe(F.col("id")) & (own["row"] == back["row"])).select("doc_id", own["row"], "words", F.explode("windows").alias("x"))
-    windows = cuts.select("doc_id", "row", "x.start", "x.width", F.slice("words", F.col("x.start") + 1, F.col("x.size")).alias("words"))
-    windows = cut(windows.withColumn("w", F.xxhash64("words")))
-
-    prints = cut(_fingerprinted(windows.select("w", "width", "words").dropDuplicates(["w"]), "w"))
-    filed = cut(_fingerprinted(items, "item_id"))
-    met = hamming_candidates(prints, filed).join(prints.select("w", F.col("bag").alias("x")), "w").join(filed.select("item_id", F.col("bag").alias("y")), "item_id")
-    common = F.size(F.array_intersect("x", "y"))
-    met = met.select("w", "item_id", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
-    met = met.groupBy("w", "item_id").agg(F.max("similarity").alias("similarity"))
-    found = windows.select("doc_id", "row", "start", "w").join(met, "w")
-    best = found.groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("x"))
+    hits = hits.groupBy("doc_id", "row", "t", "size", "width", "n").agg(F.collect_set(F.struct("at", "s", "times")).alias("hits"))
+    # shingles of a window and of the item, and how many a window must share
+    hits = hits.withColumn("own", F.least("n", "size") - F.col("width") + 1).withColumn("all", F.col("own") + F.col("size") - F.col("width") + 1)
+    hits = hits.withColumn("need", F.greatest(F.ceil(F.col("all") * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)).cast("int"), F.lit(1)))
+    hits = hits.where(F.size("hits") >= F.col("need")).withColumn("hits", F.array_sort("hits"))
+    found = cut(hits.select("doc_id", "row", "t", F.array_max(_windows()).alias("x")).where(F.col("x.similarity") >= similarity))
+    found = found.join(items.select("t", "item_id"), "t")
+    best = found.groupBy("doc_id", "row", "item_id").agg(F.max("x").alias("x"))
     return best.select("doc_id", "row", "item_id", (-F.col("x.back")).alias("start"), "x.similarity")
 
 

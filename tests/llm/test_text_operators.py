@@ -166,6 +166,41 @@ def test_decontaminate(spark, corpus):
     assert decontaminate.find(frame(spark, rows).where("false"), bench).count() == 0
 
 
+def test_decontaminate_finds_what_is_not_aligned(spark):
+    rng = random.Random(10)
+    items = [(k, words(rng, n, 30000)) for k, n in enumerate([50, 60, 100])]
+    rows = []
+    for k, text in items:
+        t = text.split()
+        h = len(t) // 2
+        rows.append((k, " ".join([words(rng, 40), *t[h:], *t[:h], words(rng, 40)])))
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # the shingles over the cut are lost, four of each
+    assert got == {(k, k): (40, pytest.approx((n - 8) / n)) for k, n in enumerate([50, 60, 100])}
+
+
+def test_decontaminate_counts_repetitions(spark):
+    rng = random.Random(12)
+    items = [(0, "a b " * 12), (1, "a " * 20 + words(rng, 10)), (2, "a")]
+    rows = [(k, " ".join(rng.choice("aaab") if rng.random() < 0.3 else "ab"[i % 2] for i in range(60))) for k in range(30)] + [(30, "a " * 19 + items[1][1]), (31, "b " + "a " * 40)]
+
+    def bag(w, k):
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    want = {}
+    for i, t in rows:
+        for item, text in items:
+            w, v = t.split(), text.split()
+            k = min(5, len(v))
+            for s in range(max(1, len(w) - len(v) + 1)):
+                a, b = bag(w[s : s + len(v)], k), bag(v, k)
+                x = sum((a & b).values()) / sum((a | b).values())
+                if x >= 0.8 and x > want.get((i, item), (0, 0))[1]:
+                    want[i, item] = (s, x)
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 30
+
+
 def test_every_fingerprint_in_the_radius_is_found(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(20)]
