@@ -47,29 +47,15 @@ def _shingles(words: Column, width: Column) -> Column:
     return found
 
 
-def _simhash(hashes: Column) -> Column:
-    """A bit is set if over half the hashes have it."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.size(F.filter(hashes, lambda h: F.call_function("getbit", h, b) == 1)))
-    return F.aggregate(bits, F.struct(F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("bit")), lambda s, n: F.struct(F.when(n * 2 > F.size(hashes), s["v"].bitwiseOR(s["bit"])).otherwise(s["v"]).alias("v"), F.call_function("shiftleft", s["bit"], F.lit(1)).alias("bit")), lambda s: s["v"])
-
-
-def _numbered(hashes: Column) -> Column:
-    """The hashes, each with how many equal ones come before it: as sets, such lists compare as multisets."""
-    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))))
-
-
-def _fingerprinted(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, size, fp and multiset of rows that have words and width."""
-    hashed = rows.select(*keys, F.size("words").alias("size"), F.explode(F.array(_shingles(F.col("words"), F.col("width")))).alias("hashes"))
-    return hashed.select(*keys, "size", F.explode(F.array(F.struct(_simhash(F.col("hashes")).alias("fp"), _numbered(F.col("hashes")).alias("bag")))).alias("x")).select(*keys, "size", "x.fp", "x.bag")
-
-
 def _block(fp: Column, b: Column) -> Column:
     return F.call_function("shiftrightunsigned", fp, (b * BITS).cast("int")).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
 def hamming_candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """(w, item_id) for all windows (w, size, fp) and items (item_id, size, fp) of one size within the radius."""
+    """(w, item_id) for all windows (w, size, fp) and items (item_id, size, fp) of one size within the radius.
+
+    find() does without: of pairs of similarity 0.8, some have SimHashes that differ in more bits.
+    """
     spark = windows.sparkSession
     masks = spark.range(1 << BITS).where(F.bit_count("id") <= NEAR).select(F.col("id").alias("mask"))
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))

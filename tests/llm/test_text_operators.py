@@ -179,6 +179,16 @@ def test_decontaminate_finds_what_is_not_aligned(spark):
     assert got == {(k, k): (40, pytest.approx((n - 8) / n)) for k, n in enumerate([50, 60, 100])}
 
 
+def test_decontaminate_finds_all_of_the_least_similarity(spark):
+    rng = random.Random(11)
+    items = [(k, words(rng, 49, 30000)) for k in range(600)]
+    # 45 shingles, of which the first five are lost: 40 of 50
+    rows = [(k, " ".join([words(rng, 9), *text.split()[5:]])) for k, text in items]
+    got = decontaminate.find(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(600)}
+    assert all(r.similarity == 0.8 for r in got)
+
+
 def test_decontaminate_counts_repetitions(spark):
     rng = random.Random(12)
     items = [(0, "a b " * 12), (1, "a " * 20 + words(rng, 10)), (2, "a")]
