@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 
 from stowage.llm.common import learns, table
 
-#: Characters of labelled text a language is learnt from, texts these come from, characters of a text, and languages.
-REFERENCE_CHARS, REFERENCE_TEXTS, TEXT_CHARS, LANGUAGES = 40_000, 64, 8_192, 64
+#: Characters of labelled text a language is learnt from, texts these come from, and characters of a text.
+REFERENCE_CHARS, REFERENCE_TEXTS, TEXT_CHARS = 40_000, 64, 8_192
+#: Letters that have a column in the table, and entries of the table, at most; moves by other letters are looked up.
+COLUMNS, ENTRIES = 250, 1 << 26
 #: Texts are parsed in blocks of so many characters, each beginning a new phrase.
 BLOCK, LANES = 1024, 4096
 SEPARATOR = 1
@@ -58,37 +62,59 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]], reference_chars: int = REFERENCE_CHARS):
         self.langs = sorted(samples)
         texts = {x: " ".join(samples[x])[:reference_chars].lower() for x in self.langs}
-        letters = sorted({c for t in texts.values() for c in t if c.isalpha() and ord(c) < 65536})[:250]
-        self.classes = np.zeros(65536, np.uint8)  # 0: a letter that no reference has
-        points = np.arange(65536)
-        self.classes[[not chr(i).isalpha() for i in points]] = SEPARATOR
+        seen = Counter(c for t in texts.values() for c in t if c.isalpha())
+        letters = sorted(seen, key=lambda c: (-seen[c], c))  # the most frequent come first: they get the columns
+        self.classes = np.zeros(sys.maxunicode + 1, np.min_scalar_type(2 + len(letters)))  # 0: a letter that no reference has
+        self.classes[[not chr(i).isalpha() for i in range(sys.maxunicode + 1)]] = SEPARATOR
         for i, c in enumerate(letters):
             self.classes[ord(c)] = 2 + i
-        self.width = 2 + len(letters)
-        tables, self.start, self.cost, base = [], [], [], 0
-        for lang in self.langs:
-            codes = self.codes(texts[lang])
-            moves = suffix_automaton(codes.tolist())
+        coded = [self.codes(texts[lang]) for lang in self.langs]
+        automata = [suffix_automaton(c.tolist()) for c in coded]
+        self.width = 2 + min(len(letters), COLUMNS, max(0, ENTRIES // max(1, sum(map(len, automata))) - 2))
+        self.letters = 2 + len(letters)
+        tables, self.start, base = [], [], 0
+        self.cost = [np.log2(max(2, len(c))) for c in coded]
+        keys, to_ = [], []  # moves by letters without a column: state * letters + class, and where to
+        for moves in automata:
             root = moves[0]
             restart = np.array([((base + root[c]) * self.width) << 2 | 1 if c in root else base * self.width << 2 | 2 for c in range(self.width)], np.int64)
             step = np.tile(restart, (len(moves), 1))
             step[0] -= 1  # at the start no phrase is open
             for s, move in enumerate(moves):
                 for c, to in move.items():
-                    step[s, c] = (base + to) * self.width << 2
+                    if c < self.width:
+                        step[s, c] = (base + to) * self.width << 2
+                    else:
+                        keys.append((base + s) * self.letters + c)
+                        to_.append((base + to) * self.width << 2)
             tables.append(step.ravel())
             self.start.append(base * self.width)
-            self.cost.append(np.log2(max(2, len(codes))))
             base += len(moves)
         flat = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-        self.table = flat.astype(np.uint32) if flat.max(initial=0) < 2**32 else flat
+        self.table = flat.astype(np.uint32) if flat.max(initial=0) < 2**32 and base * self.width << 2 < 2**32 else flat
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.to = np.array(keys, np.int64)[order], np.array(to_, np.int64)[order]
+
+    def _looked_up(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What the table would hold for letters that have no column; state: languages x texts, code: texts."""
+        start = np.array(self.start, np.int64)[:, None]
+
+        def move(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = at // self.width * self.letters + code
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return self.keys[k] == key, self.to[k]
+
+        at = state.astype(np.int64)
+        known, to = move(at)
+        first, again = move(np.broadcast_to(start, at.shape))
+        # a phrase ends and the letter begins another, or is one by itself; at the start none is open
+        new = np.where(first, again | 1, (start << 2 | 2) - (at == start))
+        return np.where(known, to, new).astype(self.table.dtype)
 
     def codes(self, text: str) -> np.ndarray:
         """Classes of a text's lower-cased characters; what is between letters is one separator."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = self.classes[np.minimum(points, 65535)]
-        if len(points) and points.max() > 65535:
-            c = np.where(points > 65535, [0 if chr(p).isalpha() else SEPARATOR for p in points.tolist()], c).astype(np.uint8)
+        c = self.classes[points]
         sep = c == SEPARATOR
         return c[~(sep & np.concatenate(([True], sep[:-1])))] if len(c) else c
 
@@ -113,12 +139,16 @@ class CrossParser:
             steps = int(size[0])
             at = np.minimum(begin[lanes][None, :] + np.arange(steps)[:, None], len(flat) - 1)
             rows = flat[at]
+            rare = rows >= self.width if self.width < self.letters else None
+            columns = rows if rare is None else np.minimum(rows, self.width - 1)
             active = len(lanes) - np.searchsorted(size[::-1], np.arange(steps), side="right")
             state = np.repeat(start, len(lanes), axis=1)
             count = np.zeros((len(self.langs), len(lanes)), np.int64)
             for t in range(steps):
                 n = active[t]
-                v = self.table[state[:, :n] + rows[t, :n]]
+                v = self.table[state[:, :n] + columns[t, :n]]
+                if rare is not None and len(k := np.flatnonzero(rare[t, :n])):
+                    v[:, k] = self._looked_up(state[:, k], rows[t, k])
                 count[:, :n] += v & 3
                 state[:, :n] = v >> 2
             count += state != start
@@ -142,15 +172,13 @@ class CrossParser:
         return out
 
 
-def fit(docs: DataFrame, reference_chars: int = REFERENCE_CHARS, texts: int = REFERENCE_TEXTS, text_chars: int = TEXT_CHARS, languages: int = LANGUAGES) -> CrossParser:
+def fit(docs: DataFrame, reference_chars: int = REFERENCE_CHARS, texts: int = REFERENCE_TEXTS, text_chars: int = TEXT_CHARS) -> CrossParser:
     """Learn from rows with a lang and a text whose id may be learnt from.
 
-    The sample is bounded: the `languages` most frequent labels, for each the `texts` distinct texts with
-    the least hash, of each `text_chars` characters, `reference_chars` in all. A repeated text counts once.
+    The sample is bounded: for each label the `texts` distinct texts with the least hash, of each `text_chars` characters, `reference_chars` in all. A repeated text counts once.
     """
     rows = docs.where(learns(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string"), "text", F.xxhash64("text").alias("h"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    picked = rows.select("lang", "h").distinct().join(F.broadcast(common), "lang")
+    picked = rows.select("lang", "h").distinct()
     picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= texts)
     keys = [(x.lang, x.h) for x in picked.select("lang", "h").collect()]
     found = rows.where(F.col("h").isin(sorted({h for _, h in keys}))).select("lang", "h", F.substring("text", 1, text_chars).alias("text")).distinct().collect()

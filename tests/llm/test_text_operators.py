@@ -310,6 +310,43 @@ def test_cross_parsing():
         assert got == [phrases(text, "abcabcabd"), phrases(text, "zzzyx")]
 
 
+@pytest.mark.parametrize("entries", [1 << 26, 0])
+def test_cross_parsing_knows_all_letters(monkeypatch, entries):
+    if entries == 0:
+        monkeypatch.setattr(langid, "ENTRIES", entries, raising=False)
+    rng = random.Random(13)
+    common = [chr(0x100 + i) for i in range(60)]
+    alphabets = [[chr(at + i) for i in range(250)] for at in (0x4E00, 0x5000, 0xAC00, 0x20000)]
+    refs = {f"l{k}": "".join(rng.choice(common + a) for _ in range(900)).lower() for k, a in enumerate(alphabets)}
+    parser = langid.CrossParser({k: [v] for k, v in refs.items()})
+
+    def phrases(text, ref):
+        n = i = 0
+        while i < len(text):
+            k = 1
+            while i + k <= len(text) and text[i : i + k] in ref:
+                k += 1
+            i += max(1, k - 1)
+            n += 1
+        return n
+
+    texts = []
+    for v in refs.values():
+        for _ in range(10):
+            s = rng.randrange(800)
+            texts.append(v[s : s + 40] + "".join(rng.choice(common + rng.choice(alphabets)) for _ in range(30)).lower() + "\u9fa5")
+    got = parser.phrases([parser.codes(t) for t in texts]).tolist()
+    assert got == [[phrases(t, refs[x]) for x in sorted(refs)] for t in texts]
+    assert [x[0] for x in parser.predict([v[100:160] for v in refs.values()])] == list(refs)
+
+
+def test_every_label_is_learnt(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join("".join(rng.choice(f"{chr(97 + k % 9)}{chr(106 + k // 9)}xyz") for _ in range(6)) for _ in range(30)), f"l{k}") for i, k in enumerate(list(range(70)) * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df).langs == sorted({f"l{k}" for k in range(70)})
+
+
 def test_language_of_held_out_documents(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     got = langid.op5_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
