@@ -137,7 +137,9 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """(doc_id, row, fp, component_id) per row of docs; component_id is the least doc_id that links lead to.
+    """(doc_id, row, fp, component_id, root) per row of docs; component_id is the least doc_id that links lead to.
+
+    root names the component itself: where a doc_id is repeated, two components can have one least doc_id.
 
     Fingerprints link at `radius` or fewer differing bits; equal ones are one node, so copies cost no
     links. Rows without a doc_id count as documents but never name a component (null if no member has
@@ -149,18 +151,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     roots = connected_components(links(nodes.select("fp"), radius))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "row", "fp", "component_id")
+    return fps.join(named.select("fp", "root").join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "row", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """The documents of which each group of near duplicates keeps the one with the least doc_id, with all their columns.
 
-    Of several rows with that id one stays. Where no member has an id, one row of each fingerprint stays.
+    Of several rows of a group with that id one stays. Where no member has an id, one row of each fingerprint stays.
     """
     groups = cut(near_duplicates(docs, radius, width))
-    best = groups.where("doc_id <=> component_id").groupBy("doc_id", "fp").agg(F.min("row").alias("row"))
-    named = best.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row"))
-    keep = named.union(best.where("doc_id is null").select("doc_id", "row"))
+    best = groups.where("doc_id <=> component_id").groupBy("doc_id", "root", "fp").agg(F.min("row").alias("row"))
+    named = best.where("doc_id is not null").groupBy("doc_id", "root").agg(F.min("row").alias("row"))
+    keep = named.select("doc_id", "row").union(best.where("doc_id is null").select("doc_id", "row"))
     key, row, text = fresh("key"), fresh("row"), fresh("text")
     keep = keep.select(F.col("doc_id").alias(key), F.col("row").alias(row))
     twice = groups.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias(key), F.col("row").alias(row))

@@ -289,6 +289,13 @@ def test_simhash_edges(spark, corpus):
     assert simhash.near_duplicates(frame(spark, []).where("false")).count() == 0
 
 
+def test_each_group_keeps_one(spark):
+    rng = random.Random(15)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, a), (2, a), (1, b), (3, b), (1, b)]
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect()) == {(1, a): 1, (1, b): 1}
+
+
 # --- languages
 
 
