@@ -2,7 +2,7 @@
 
 A record begins at a line without indent and goes on over indented lines; it is a list of attr=value, the first of
 which names its kind. Unknown attributes and kinds are passed over. Attributes are described by tables: a
-parser for the value, a check, and whether they are needed.
+parser for the value, a check, and whether they are needed. Faults are told apart by a code.
 """
 
 from __future__ import annotations
@@ -19,26 +19,27 @@ NAME = r"[A-Za-z0-9_-]{1,63}"
 
 
 class BadMap(ValueError):
-    """A text that is no map."""
+    """A text that is no map; code is the kind of fault, where the record or attribute it was found in."""
 
-    def __init__(self, why: str):
-        super().__init__(f"bad map: {why}")
+    def __init__(self, code: str, where: str, detail: str = ""):
+        self.code, self.where = code, where
+        super().__init__(f"bad map: {code}: {where}" + (f" ({detail})" if detail else ""))
 
 
 @dataclass
 class Attribute:
-    """How an attribute is read; complaint is what is said of a value that doesn't fit."""
+    """How an attribute is read, and whether a record must have it."""
 
     read: Callable[[str, str], Any]
     needed: bool = False
 
 
-def number(most: int, check: Callable[[int], bool] | None = None, complaint: str = "") -> Callable[[str, str], int]:
+def number(most: int, check: Callable[[int], bool] | None = None, wanted: str = "") -> Callable[[str, str], int]:
     def read(name: str, text: str) -> int:
         if not re.fullmatch("[0-9]{1,20}", text) or int(text) > most:
-            raise BadMap(f"{name} {text} is not a number")
+            raise BadMap("malformed", name, f"got {text}, wants decimal digits up to {most}")
         if check and not check(int(text)):
-            raise BadMap(f"{name} {int(text)}{complaint}")
+            raise BadMap("range", name, f"got {int(text)}, wants {wanted}")
         return int(text)
 
     return read
@@ -47,7 +48,7 @@ def number(most: int, check: Callable[[int], bool] | None = None, complaint: str
 def hexadecimal(digits: int) -> Callable[[str, str], str]:
     def read(name: str, text: str) -> str:
         if not re.fullmatch(f"[0-9a-f]{{{digits}}}", text):
-            raise BadMap(f"{name} is not {digits} lower-case hex")
+            raise BadMap("malformed", name, f"wants {digits} digits of 0-9a-f")
         return text
 
     return read
@@ -56,7 +57,7 @@ def hexadecimal(digits: int) -> Callable[[str, str], str]:
 def one_of(*values: str) -> Callable[[str, str], str]:
     def read(name: str, text: str) -> str:
         if text not in values:
-            raise BadMap(f"{name} {text} is not one of {', '.join(values)}")
+            raise BadMap("choice", name, f"got {text}, knows {' '.join(values)}")
         return text
 
     return read
@@ -65,7 +66,7 @@ def one_of(*values: str) -> Callable[[str, str], str]:
 def matching(pattern: str, what: str) -> Callable[[str, str], str]:
     def read(name: str, text: str) -> str:
         if not re.fullmatch(pattern, text):
-            raise BadMap(f"{name} {text} is not {what}")
+            raise BadMap("malformed", name, f"got {text}, wants {what}")
         return text
 
     return read
@@ -79,19 +80,19 @@ IID = rf"({NAME})\.(0|[1-9][0-9]{{0,8}})"
 HEADER = {
     "epoch": Attribute(number(U64), True),
     "monid": Attribute(hexadecimal(32), True),
-    "objmax": Attribute(number(U64, lambda n: power_of_two(n) and n >= 1 << 20, " is not a power of two at least 2^20"), True),
-    "blksz": Attribute(number(U32, power_of_two, " is not a power of two"), True),
-    "replicas": Attribute(number(U32, lambda n: 1 <= n <= 64, " is not from 1 to 64"), True),
+    "objmax": Attribute(number(U64, lambda n: power_of_two(n) and n >= 1 << 20, "a power of two from 1048576"), True),
+    "blksz": Attribute(number(U32, power_of_two, "a power of two"), True),
+    "replicas": Attribute(number(U32, lambda n: 1 <= n <= 64, "1 to 64"), True),
     "csumalg": Attribute(one_of("blake2s256"), True),
     "placehash": Attribute(one_of("blake2s256-64"), True),
-    "pollms": Attribute(number(U32, lambda n: n >= 1, " is too few"), True),
+    "pollms": Attribute(number(U32, lambda n: n >= 1, "1 or more"), True),
     "leasems": Attribute(number(U32), True),
     "replms": Attribute(number(U32), True),
     "deadms": Attribute(number(U32), True),
     "outmins": Attribute(number(U32), True),
     "tombdays": Attribute(number(U32), True),
-    "mincopies": Attribute(number(U32, lambda n: n >= 1, " is too few"), True),
-    "retain": Attribute(number(U32, lambda n: n >= 2, " is too few")),
+    "mincopies": Attribute(number(U32, lambda n: n >= 1, "1 or more"), True),
+    "retain": Attribute(number(U32, lambda n: n >= 2, "2 or more")),
     "placerule": Attribute(one_of("nodes")),
 }
 INSTANCE = {
@@ -100,13 +101,13 @@ INSTANCE = {
     "uuid": Attribute(hexadecimal(32), True),
     "class": Attribute(matching(r"\S{1,31}", "a class")),
     "zone": Attribute(matching(NAME, "a node name")),
-    "weight": Attribute(number(U32, lambda n: n == 100, ", and only 100 is taken")),
+    "weight": Attribute(number(U32, lambda n: n == 100, "100")),
     "status": Attribute(one_of("new", "in", "out", "dead"), True),
     "up": Attribute(one_of("yes", "heal", "no"), True),
     "since": Attribute(number(U64)),
     "fenced": Attribute(one_of("yes", "no")),
 }
-STALE = {"reporter": Attribute(matching(IID, "<node>.<index>"), True), "since": Attribute(number(U64))}
+STALE = {"reporter": Attribute(matching(IID, "a node, a dot and an index"), True), "since": Attribute(number(U64))}
 
 
 @dataclass
@@ -120,14 +121,14 @@ class ClusterMap:
 def _records(text: str):
     """Each record's attributes, in order."""
     if not re.fullmatch(r"[\t\n\x20-\x7e]*", text):
-        raise BadMap("a byte is not 7-bit printable")
+        raise BadMap("character", "text", "only ASCII that prints, tabs and ends of line")
     record: list[tuple[str, str]] | None = None
     for line in text.split("\n"):
         if line.startswith("#") or not line.strip():
             continue
         if line[0] in " \t":
             if record is None:
-                raise BadMap("an indented line begins the map")
+                raise BadMap("indent", "text", "no record to go on with")
         else:
             if record:
                 yield record
@@ -135,7 +136,7 @@ def _records(text: str):
         for word in line.split():
             name, equals, value = word.partition("=")
             if not equals or not name:
-                raise BadMap(f"{word} is not attr=value")
+                raise BadMap("word", word, "wants a name, an equals sign, a value")
             record.append((name, value))
     if record:
         yield record
@@ -146,27 +147,23 @@ def _read(attributes: list[tuple[str, str]], known: dict[str, Attribute], whose:
     for name, text in attributes:
         if name in known:
             if name in out:
-                raise BadMap(f"{whose}{name} given twice")
+                raise BadMap("repeated", f"{whose} {name}")
             out[name] = known[name].read(name, text)
     return out
 
 
-def _need(found: dict[str, Any], known: dict[str, Attribute], says: str) -> None:
+def _need(found: dict[str, Any], known: dict[str, Attribute], whose: str) -> None:
     for name, attribute in known.items():
         if attribute.needed and name not in found:
-            raise BadMap(f"{says} {name}=")
+            raise BadMap("missing", f"{whose} {name}")
 
 
 def _legal(iid: str, x: dict[str, Any]) -> None:
-    fenced = x.get("fenced") == "yes"
-    if x["status"] == "dead" and x["up"] != "no":
-        raise BadMap(f"{iid}: status=dead with up={x['up']}")
-    if x["status"] == "dead" and fenced:
-        raise BadMap(f"{iid}: status=dead with fenced=yes")
-    if x["status"] == "new" and x["up"] == "heal":
-        raise BadMap(f"{iid}: status=new with up=heal")
-    if fenced and x["up"] != "no":
-        raise BadMap(f"{iid}: fenced=yes with up={x['up']}")
+    state = f"status {x['status']}, up {x['up']}, fenced {x.get('fenced', 'no')}"
+    silent = x["up"] == "no"
+    dead, fenced = x["status"] == "dead", x.get("fenced") == "yes"
+    if (dead or fenced) and not silent or dead and fenced or x["status"] == "new" and x["up"] == "heal":
+        raise BadMap("state", iid, state)
 
 
 def parse(text: str) -> ClusterMap:
@@ -175,52 +172,52 @@ def parse(text: str) -> ClusterMap:
     for (kind, value), *rest in _records(text):
         if kind == "map":
             if seen:
-                raise BadMap("two map records")
-            seen, out.header = True, {"name": value, **_read(rest, HEADER, "")}
-            _need(out.header, HEADER, "header has no")
+                raise BadMap("repeated", "map")
+            seen, out.header = True, {"name": value, **_read(rest, HEADER, "map")}
+            _need(out.header, HEADER, "map")
         elif kind == "node":
             if not re.fullmatch(NAME, value):
-                raise BadMap(f"node {value} is not a node name")
+                raise BadMap("malformed", "node", f"got {value}")
             if value in out.nodes:
-                raise BadMap(f"two node records for {value}")
+                raise BadMap("repeated", f"node {value}")
             out.nodes.append(value)
         elif kind == "instance":
             if not (m := re.fullmatch(IID, value)):
-                raise BadMap(f"instance {value} is not <node>.<index>")
+                raise BadMap("malformed", "instance", f"got {value}")
             if value in out.instances:
-                raise BadMap(f"two instance records for {value}")
-            x = _read(rest, INSTANCE, f"{value}: ")
+                raise BadMap("repeated", f"instance {value}")
+            x = _read(rest, INSTANCE, value)
             if x.get("onnode", m[1]) != m[1]:
-                raise BadMap(f"{value}: onnode={x['onnode']} is not the iid's node")
-            _need(x, INSTANCE, f"{value}: no")
+                raise BadMap("owner", value, f"onnode says {x['onnode']}")
+            _need(x, INSTANCE, value)
             _legal(value, x)
             out.instances[value] = x | {"node": m[1], "idx": int(m[2])}
         elif kind == "stale":
             if not re.fullmatch(IID, value):
-                raise BadMap(f"stale {value} is not <node>.<index>")
-            x = _read(rest, STALE, f"stale={value}: ")
-            _need(x, STALE, f"stale={value}: no")
+                raise BadMap("malformed", "stale", f"got {value}")
+            x = _read(rest, STALE, f"stale {value}")
+            _need(x, STALE, f"stale {value}")
             if x["reporter"] == value:
-                raise BadMap(f"stale={value}: the reporter is the subject")
+                raise BadMap("owner", f"stale {value}", "reports itself")
             if (value, x["reporter"]) in out.stale:
-                raise BadMap(f"two stale records for {value} from {x['reporter']}")
+                raise BadMap("repeated", f"stale {value}", x["reporter"])
             out.stale[value, x["reporter"]] = x.get("since")
     if not seen:
-        raise BadMap("no map record")
+        raise BadMap("missing", "map")
     h = out.header
     for less, more in (("pollms", "leasems"), ("leasems", "deadms")):
         if h[more] <= h[less]:
-            raise BadMap(f"{more} {h[more]} is not over {less} {h[less]}")
+            raise BadMap("order", more, f"{h[more]}, with {less} {h[less]}")
     if h["replms"] >= h["deadms"]:
-        raise BadMap(f"replms {h['replms']} is not under deadms {h['deadms']}")
+        raise BadMap("order", "replms", f"{h['replms']}, with deadms {h['deadms']}")
     zones: dict[str, str | None] = {}
     for x in out.instances.values():
         if zones.setdefault(x["node"], x.get("zone")) != x.get("zone"):
-            raise BadMap(f"node {x['node']} is in two zones")
+            raise BadMap("zone", x["node"])
     for pair in out.stale:
         for iid in pair:
             if iid not in out.instances:
-                raise BadMap(f"stale={pair[0]}: {iid} names no instance")
+                raise BadMap("unknown", f"stale {pair[0]}", iid)
     return out
 
 
