@@ -31,6 +31,16 @@ def _blake2s_128(data: pd.Series) -> pd.Series:
     return data.map(lambda x: hashlib.blake2s(x, digest_size=16).hexdigest(), na_action="ignore")
 
 
+def blocks_blake2s(content: Column, size: int) -> Column:
+    """The digest of the ordered digests of a content's blocks; nothing has no blocks."""
+
+    def one(data: bytes | None) -> str:
+        parts = (hashlib.blake2s(data[k : k + size], digest_size=16).digest() for k in range(0, len(data or b""), size))
+        return hashlib.blake2s(b"".join(parts), digest_size=32).hexdigest()
+
+    return F.pandas_udf(lambda data: data.map(one), StringType())(content)
+
+
 def score(oid: Column, domain: str, name: Column, profile: str = "blake2s") -> Column:
     """16 lower-case hex digits, which order as the unsigned 64-bit score does."""
     data = F.concat(oid, F.lit("\0" + domain), name)

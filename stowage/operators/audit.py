@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowage.functions.digest import block_digest, digest_of_digests
+from stowage.functions.digest import block_digest, blocks_blake2s, digest_of_digests
 from stowage.plans.registry import query
 from stowage.sources import inventory as inv
 
@@ -20,11 +20,18 @@ def blocks(objects: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def checksums(objects: DataFrame, size: int = BLOCK, profile: str = "blake2s") -> DataFrame:
-    """(oid, csum): the digest of the ordered digests of each object's blocks."""
-    hashed = blocks(objects, size).select("oid", "blk", block_digest(F.col("data"), profile).alias("dig"))
-    digests = hashed.groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("blk", "dig"))).alias("x"))
-    ordered = objects.select("oid").join(digests, "oid", "left").select("oid", F.coalesce(F.transform("x", lambda s: s["dig"]), F.array().cast("array<string>")).alias("digests"))
-    return ordered.select("oid", digest_of_digests(F.col("digests"), profile).alias("csum"))
+    """(oid, csum): the digest of the ordered digests of each object's blocks, made in the object's own row."""
+    if profile == "blake2s":
+        return objects.select("oid", blocks_blake2s(F.col("content"), size).alias("csum"))
+
+    def digests(content: Column) -> Column:
+        n = F.ceil(F.octet_length(content) / size).cast("int")
+        places = F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+        return F.transform(places, lambda i: block_digest(F.substring(content, i * size + 1, F.lit(size)), profile))
+
+    # a value bound by transform is read in place; a column would be copied for every block
+    each = F.transform(F.array(F.coalesce("content", F.lit("").cast("binary"))), lambda c: digest_of_digests(digests(c), profile))
+    return objects.select("oid", F.element_at(each, 1).alias("csum"))
 
 
 _BLOCKS = f"b AS (SELECT oid, n.blk, sha256(CAST(encode(text) AS BLOB)[(n.blk * {BLOCK} + 1):((n.blk + 1) * {BLOCK})]) AS dig FROM objects, LATERAL (SELECT unnest(range(0, (len + {BLOCK - 1}) // {BLOCK})) AS blk) n)"
@@ -79,14 +86,16 @@ def a19_verify_summary_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.count_if(~F.col("bad") & ~F.col("corrupt")).alias("verified"), F.count_if("bad").alias("failed"), F.count_if(~F.col("bad") & F.col("corrupt")).alias("clean_but_flagged"))
 
 
-@query("s6_read_range", f"SELECT oid, sha256(CAST(encode(text) AS BLOB)[4001:5000]) AS digest, greatest(0, least(len, 5000) - 4000) AS n FROM objects WHERE len > 4000")
+def read_range(objects: DataFrame, offset: int, length: int) -> DataFrame:
+    """(oid, data): `length` bytes from `offset` of each object that is longer than the offset, cut at its end."""
+    long = objects.where(F.octet_length("content") > offset)
+    return long.select("oid", F.substring("content", offset + 1, length).alias("data"))
+
+
+@query("s6_read_range", "SELECT oid, sha256(CAST(encode(text) AS BLOB)[4001:5000]) AS digest, greatest(0, least(len, 5000) - 4000) AS n FROM objects WHERE len > 4000")
 def s6_read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1000 bytes from offset 4000, cut at the end of each object, put together from its blocks."""
-    part = blocks(inv.objects(spark, sf_dir)).where("blk in (0, 1)")
-    cut = F.when(F.col("blk") == 0, F.expr("substring(data, 4001, 96)")).otherwise(F.expr("substring(data, 1, 904)"))
-    both = part.select("oid", "blk", cut.alias("data")).groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("blk", F.hex("data").alias("x")))).alias("parts"))
-    data = F.unhex(F.array_join(F.transform("parts", lambda p: p["x"]), ""))
-    return both.select("oid", data.alias("data")).where("octet_length(data) > 0").select("oid", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("n"))
+    """1000 bytes from offset 4000."""
+    return read_range(inv.objects(spark, sf_dir), 4000, 1000).select("oid", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("n"))
 
 
 def grain_audit(extents: DataFrame, bitmap: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ _LIFE = "d AS (SELECT oid, max(seq) FILTER (op = 'delete') AS gone FROM oplog GR
 def x2_block_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change that each block of each object comes from: the last write after the last delete and truncation to nothing."""
     rows = inv.oplog(spark, sf_dir)
-    cut = F.max(F.when(F.col("op").isin("delete", "trunc"), F.col("seq"))).over(Window.partitionBy("oid"))
-    kept = rows.withColumn("cut", cut).where("op = 'write' and (cut is null or seq > cut)")
-    return kept.groupBy("oid", F.expr("off div 1024").alias("blk")).agg(F.max("seq").alias("seq"))
+    cut = rows.where("op in ('delete', 'trunc')").groupBy("oid").agg(F.max("seq").alias("cut"))
+    last = rows.where("op = 'write'").groupBy("oid", F.expr("off div 1024").alias("blk")).agg(F.max("seq").alias("seq"))
+    return last.join(cut, "oid", "left").where("cut is null or seq > cut").select("oid", "blk", "seq")
 
 
 @query("x3_slot_markers", "SELECT oid, max(seq) AS seq FROM oplog WHERE op = 'delete' GROUP BY oid")
@@ -74,10 +74,9 @@ def x3_slot_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def x4_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version and length of each object after its changes: a truncation is to nothing, a write reaches to its end."""
-    w = Window.partitionBy("oid")
-    rows = inv.oplog(spark, sf_dir).withColumn("gone", F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(w))
-    rows = rows.where("(gone is null or seq > gone) and op in ('create', 'write', 'trunc')")
-    rows = rows.withColumn("cut", F.max(F.when(F.col("op") == "trunc", F.col("seq"))).over(w))
+    rows = inv.oplog(spark, sf_dir).where("op in ('create', 'write', 'trunc', 'delete')")
+    ends = rows.groupBy("oid").agg(F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("gone"), F.max(F.when(F.col("op") == "trunc", F.col("seq"))).alias("cut"))
+    rows = rows.where("op <> 'delete'").join(ends, "oid").where("gone is null or seq > gone")
     reach = F.max(F.when((F.col("op") == "write") & (F.col("cut").isNull() | (F.col("seq") > F.col("cut"))), F.col("off") + F.col("n")))
     return rows.groupBy("oid").agg(F.count("*").alias("ver"), F.coalesce(reach, F.lit(0)).alias("len"))
 

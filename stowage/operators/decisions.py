@@ -65,11 +65,10 @@ def f6_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(0, 2050, 2).selectExpr("id as x", "id > 0 and (id & (id - 1)) = 0 as pow2", "(id + 511) div 512 * 512 as up")
 
 
-@query("f8_bits", "SELECT grain // 64 AS word, CAST(bit_or(CAST(1 AS BIGINT) << CAST(grain % 62 AS INTEGER)) AS BIGINT) AS bits FROM bitmap WHERE grain % 64 < 62 GROUP BY 1")
+@query("f8_bits", "SELECT grain // 32 AS word, CAST(bit_or(CAST(1 AS BIGINT) << CAST(grain % 32 AS INTEGER)) AS BIGINT) AS bits FROM bitmap GROUP BY 1")
 def f8_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marked grains packed into words, of 62 used bits."""
-    rows = inv.bitmap(spark, sf_dir).where("grain % 64 < 62")
-    return rows.groupBy(F.expr("grain div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(grain % 62 as int)))").alias("bits"))
+    """All marked grains packed into words of 32 bits, bit grain % 32 of word grain / 32."""
+    return inv.bitmap(spark, sf_dir).groupBy(F.expr("grain div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(grain % 32 as int)))").alias("bits"))
 
 
 @query("f9_offsets", "SELECT slot, 1048576 + slot * 256 AS idx_off, 8388608 + slot * 65536 AS emap_off FROM (SELECT unnest(range(0, 512)) AS slot)")

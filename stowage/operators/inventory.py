@@ -14,10 +14,10 @@ NOW, TOMBDAYS, EPOCH = 1718000000, 7, 3
 
 
 def arbitrate(copies: DataFrame) -> DataFrame:
-    """(oid, state, len, ver, wepoch, csum, copies_ok, n_csum): the winning key of each object among copies that are not corrupt.
+    """(oid, state, len, ver, wepoch, csum, copies_ok, diverged): the winning key of each object among copies that are not corrupt.
 
     One aggregation, combined before the shuffle: the winner is a whole-row maximum led by the key. An object with
-    corrupt copies only has no row. n_csum over 1 tells that copies with the winning key differ.
+    corrupt copies only has no row. diverged tells that copies with the winning key differ.
     """
     ok = copies.where("not corrupt")
     best = F.max(F.struct("wepoch", "ver", "csum", "state", "len")).alias("x")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowage.operators.placement import placement, sql_placed
+from stowage.operators.placement import placement, sql_placed, strays
 from stowage.plans.registry import query
 from stowage.sources import inventory as inv
 
@@ -55,13 +55,29 @@ def s24_monitor_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(inv.stale(spark).agg(F.count("*").alias("stale"))).select("instances", "up", "members", "stale", "epoch")
 
 
-@query("x12_lease_gaps", f"WITH g AS (SELECT iid, ts, (epoch_us(lead(ts) OVER (PARTITION BY iid ORDER BY ts)) // 1000) - (epoch_us(ts) // 1000) AS silent FROM pings WHERE role = 'instance' AND bytes_read > 0) SELECT iid, count(*) AS n, max(silent) AS longest FROM g WHERE silent >= {DEAD_MS} GROUP BY iid")
-def x12_lease_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silences long enough to demote each instance (specified, not built)."""
+#: Milliseconds of a slot of time, in which silences are looked for apart.
+SLOT_MS = 3_600_000
+
+
+def silences(pings: DataFrame, dead_ms: int) -> DataFrame:
+    """(iid, since, silent) for each silence of at least dead_ms, up to the next ping or the end of the log.
+
+    Pings are dealt by instance and slot of time; between slots only the first and last ping of each are ordered.
+    """
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = inv.pings(spark, sf_dir).where("role = 'instance' and bytes_read > 0").select("iid", ms.alias("ms"))
-    gap = F.lead("ms").over(Window.partitionBy("iid").orderBy("ms")) - F.col("ms")
-    return rows.select("iid", gap.alias("silent")).where(F.col("silent") >= DEAD_MS).groupBy("iid").agg(F.count("*").alias("n"), F.max("silent").alias("longest"))
+    rows = pings.where("role = 'instance' and bytes_read > 0").select("iid", ms.alias("ms")).withColumn("slot", F.expr(f"ms div {SLOT_MS}"))
+    inside = rows.select("iid", F.col("ms").alias("since"), F.lead("ms").over(Window.partitionBy("iid", "slot").orderBy("ms")).alias("next")).where("next is not null")
+    edges = rows.groupBy("iid", "slot").agg(F.min("ms").alias("a"), F.max("ms").alias("since"))
+    end = pings.agg(F.max(ms).alias("end"))
+    between = edges.select("iid", "since", F.lead("a").over(Window.partitionBy("iid").orderBy("slot")).alias("next"))
+    between = between.join(F.broadcast(end)).select("iid", "since", F.coalesce("next", "end").alias("next"))
+    return inside.union(between).select("iid", "since", (F.col("next") - F.col("since")).alias("silent")).where(F.col("silent") >= dead_ms)
+
+
+@query("x12_lease_gaps", f"WITH g AS (SELECT iid, (epoch_us(coalesce(lead(ts) OVER (PARTITION BY iid ORDER BY ts), (SELECT max(ts) FROM pings))) // 1000) - (epoch_us(ts) // 1000) AS silent FROM pings WHERE role = 'instance' AND bytes_read > 0) SELECT iid, count(*) AS n, max(silent) AS longest FROM g WHERE silent >= {DEAD_MS} GROUP BY iid")
+def x12_lease_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences long enough to demote each instance (specified, not built); one that the log ends in counts up to its end."""
+    return silences(inv.pings(spark, sf_dir), DEAD_MS).groupBy("iid").agg(F.count("*").alias("n"), F.max("silent").alias("longest"))
 
 
 @query("p8_down", "SELECT k.iid, i.iid IS NULL OR i.up = 'no' OR i.status IN ('out', 'dead') AS down, i.iid IS NOT NULL AND i.status <> 'dead' AS member FROM (SELECT DISTINCT iid FROM copies UNION ALL SELECT 'n9.0') k LEFT JOIN inst i USING (iid)")
@@ -191,38 +207,60 @@ def t7_heal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLACE, PREVIOUS, STRAY, REPORTER = 1, 2, 4, 8
 
 
-def witnesses(objects: DataFrame, members: DataFrame, before: DataFrame, ledger: DataFrame, replicas: int, profile: str = "blake2s") -> DataFrame:
-    """(oid, iid, why, how): who must be asked before an object counts as current.
+def witnesses(objects: DataFrame, members: DataFrame, before: DataFrame | None, ledger: DataFrame, replicas: int, profile: str = "blake2s", strays: DataFrame | None = None, open_pass: bool = False) -> DataFrame:
+    """(oid, iid, why, how): who must be asked before an object counts as current; members that are dead never are.
 
-    why: in the placement, in the one an epoch before, and the reporter of a mark on a member of either. how: query
-    those that are up or healing; of those that are down a reporter blocks, others are skipped. Members and ledger are
-    bounded by the map, so all is worked out in each object's row.
+    why: in the placement (1), in the one an epoch before (2), a known stray holder (4), and the reporter of a mark on
+    a member of either placement (8). Where there is no map of the epoch before, or a reconcile pass is still open,
+    every member stands for clause 2; marks are then looked up in the placements that there are. how: query those that
+    are up or healing; of those that are down a reporter blocks, others are skipped. Members and ledger are
+    bounded by the map, so all is worked out in each object's row; strays (oid, iid) are joined by object.
     """
     rows = members.where("status <> 'dead'").select("iid", "up").collect()  # a map's members
     marks = [(x.subject, x.reporter) for x in ledger.collect()]
     known = [x.iid for x in members.select("iid").collect()]
-    p = placement(members, F.col("oid"), replicas, profile)
-    q = F.filter(placement(before, F.col("oid"), replicas, profile), lambda i: i.isin(known))
-    asked = objects.select("oid", p.alias("p"), q.alias("q"))
+    p, none = placement(members, F.col("oid"), replicas, profile), F.array().cast("array<string>")
+    q = none if before is None else F.filter(placement(before, F.col("oid"), replicas, profile), lambda i: i.isin(known))
+    objects = objects.select("oid")
+    if strays is not None:
+        held = strays.groupBy("oid").agg(F.collect_set("iid").alias("s"))
+        objects = objects.join(held, "oid", "left")
+    asked = objects.select("oid", p.alias("p"), q.alias("q"), F.coalesce("s", none).alias("s") if strays is not None else none.alias("s"))
     found = []
     for x in rows:
         scope = [F.array_contains("p", s) | F.array_contains("q", s) for s, r in marks if r == x.iid and s in known]
         reporter = F.lit(False)
         for s in scope:
             reporter = reporter | s
-        why = F.when(F.array_contains("p", x.iid), PLACE).otherwise(0) + F.when(F.array_contains("q", x.iid), PREVIOUS).otherwise(0) + F.when(reporter, REPORTER).otherwise(0)
+        earlier = F.lit(True) if before is None or open_pass else F.array_contains("q", x.iid)
+        clauses = [(F.array_contains("p", x.iid), PLACE), (earlier, PREVIOUS), (F.array_contains("s", x.iid), STRAY), (reporter, REPORTER)]
+        why = sum((F.when(c, bit).otherwise(0) for c, bit in clauses[1:]), F.when(clauses[0][0], PLACE).otherwise(0))
         how = F.when(F.lit(x.up != "no"), "query").when(reporter, "block").otherwise("skip")
         found.append(F.struct(F.lit(x.iid).alias("iid"), why.alias("why"), how.alias("how")))
     return asked.select("oid", F.explode(F.array(*found)).alias("x")).where("x.why > 0").select("oid", "x.iid", "x.why", "x.how")
 
 
-@query(
-    "x16_witnesses_sha",
-    f"""WITH {sql_placed("p", m="inst")}, {sql_placed("q")}, w AS (
-      SELECT oid, iid, 1 AS why FROM p UNION ALL SELECT q.oid, q.iid, 2 FROM q JOIN inst USING (iid)
+def _witness_sql(previous: str) -> str:
+    """previous: rows (oid, iid) of clause 2."""
+    return f"""WITH ko AS (SELECT DISTINCT oid FROM copies), {sql_placed("p", "ko", "inst")}, {sql_placed("q", "ko")}, w AS (
+      SELECT oid, iid, 1 AS why FROM p UNION ALL SELECT oid, iid, 2 FROM ({previous})
+      UNION ALL SELECT c.oid, c.iid, 4 FROM copies c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.oid = c.oid AND p.iid = c.iid)
       UNION ALL SELECT DISTINCT x.oid, s.reporter, 8 FROM (SELECT oid, iid FROM p UNION SELECT q.oid, q.iid FROM q JOIN inst USING (iid)) x JOIN stale s ON s.subject = x.iid)
     SELECT w.oid, w.iid, CAST(bit_or(why) AS INTEGER) AS why, CASE WHEN any_value(i.up) <> 'no' THEN 'query' WHEN bit_or(why) & 8 > 0 THEN 'block' ELSE 'skip' END AS how
-    FROM w JOIN inst i ON i.iid = w.iid WHERE i.status <> 'dead' GROUP BY w.oid, w.iid""",
-)
+    FROM w JOIN inst i ON i.iid = w.iid WHERE i.status <> 'dead' GROUP BY w.oid, w.iid"""
+
+
+def _witnesses(spark: SparkSession, sf_dir: str, open_pass: bool) -> DataFrame:
+    copies, now = inv.copies(spark, sf_dir), inv.inst(spark)
+    return witnesses(copies.select("oid").distinct(), now, inv.inst_prev(spark), inv.stale(spark), 2, "sha256", strays(copies, now, 2, "sha256"), open_pass)
+
+
+@query("x16_witnesses_sha", _witness_sql("SELECT q.oid, q.iid FROM q JOIN inst USING (iid)"))
 def x16_witnesses_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return witnesses(inv.doc_oids(spark, sf_dir), inv.inst(spark), inv.inst_prev(spark), inv.stale(spark), 2, "sha256")
+    return _witnesses(spark, sf_dir, False)
+
+
+@query("x16_open_pass_sha", _witness_sql("SELECT ko.oid, i.iid FROM ko CROSS JOIN inst i"))
+def x16_open_pass_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same while a reconcile pass is open: every member counts as one of the epoch before."""
+    return _witnesses(spark, sf_dir, True)

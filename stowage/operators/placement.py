@@ -125,8 +125,17 @@ def j3_carried_over_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(inv.doc_oids(spark, sf_dir), inv.inst_prev(spark), 2, "sha256").join(F.broadcast(now), "iid").select("oid", "rank", "iid", "status")
 
 
+def strays(copies: DataFrame, members: DataFrame, replicas: int, profile: str = "blake2s") -> DataFrame:
+    """(iid, oid, state) of copies (iid, oid, state) that are where their placement doesn't put them.
+
+    Each object is placed once: its copies, one for each member at most, are gathered in its row first.
+    """
+    held = copies.groupBy("oid").agg(F.collect_list(F.struct("iid", "state")).alias("held"))
+    rows = held.select("oid", placement(members, F.col("oid"), replicas, profile).alias("p"), "held")
+    rows = rows.select("oid", F.explode(F.filter("held", lambda x: ~F.array_contains("p", x["iid"]))).alias("x"))
+    return rows.select("x.iid", "oid", "x.state")
+
+
 @query("j8_strays_sha", f"WITH ko AS (SELECT DISTINCT oid FROM copies), {sql_placed(o='ko')} SELECT c.iid, c.oid, c.state FROM copies c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.oid = c.oid AND p.iid = c.iid)")
 def j8_strays_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies that are where their placement doesn't put them. The placement is worked out in the row: no join."""
-    wanted = placement(inv.inst_prev(spark), F.col("oid"), 2, "sha256")
-    return inv.copies(spark, sf_dir).where(~F.array_contains(wanted, F.col("iid"))).select("iid", "oid", "state")
+    return strays(inv.copies(spark, sf_dir), inv.inst_prev(spark), 2, "sha256")

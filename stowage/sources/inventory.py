@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The members for which known placements are given.
 IIDS = ["n1.0", "n1.1", "n2.0", "n3.0", "n3.2"]
 INST_SCHEMA = "iid string, node string, idx long, status string, up string, fenced boolean, since long"
 
@@ -107,9 +108,3 @@ def bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = _blocks_of_orders(spark, sf_dir).where("not (k % 997 = 3 and blk = 0)").select((F.col("k") * 8 + F.col("blk") + 1).alias("grain"))
     leaked = base(spark, sf_dir, "lineitem").where("l_orderkey % 1009 = 1").select((F.col("l_orderkey") * 8 + 7).alias("grain"))
     return marked.union(leaked).union(spark.range(1).select(F.col("id").alias("grain"))).distinct()
-
-
-def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")

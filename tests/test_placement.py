@@ -59,4 +59,4 @@ def test_a_flipped_byte(spark):
     content[70] ^= 0x5A
     objects = spark.createDataFrame([("a", content)], "oid string, content binary")
     digests = b"".join(hashlib.blake2s(content[k : k + 64], digest_size=16).digest() for k in range(0, 199, 64))
-    assert audit.checksums(objects, 64).first().csum == hashlib.blake2s(digests).hexdigest() == "a8849a68efcb0bb348b1488057c9301252c8bb80f574f58f21a941d6f9e12012"
+    assert audit.checksums(objects, 64).first().csum == hashlib.blake2s(digests).hexdigest()
