@@ -1,8 +1,12 @@
-"""Chat formatting: role repair of least cost over a legal-turn automaton, then rendering."""
+"""Chat formatting: role repair of least cost over a legal-turn automaton, then rendering.
+
+The choice for a conversation's first turn can hang on its last, so there are two passes: one over the roles
+alone, which keeps four bytes for each turn, and one over the texts, which streams them past the choices made.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +21,9 @@ FOLLOWS = {"start": ("system", "user"), "system": ("user",), "user": ("assistant
 MERGE, INSERT, RELABEL, NAME = 2, 3, 5, 1
 #: Other names of the three roles.
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "developer": "system"}
-#: Turns after which what all best sequences share is given out.
-FLUSH = 512
+
+#: Characters of repaired turns that are given out together.
+BATCH_CHARS = 4 << 20
 
 
 def _routes() -> dict[str, dict[str, list[str]]]:
@@ -64,63 +69,37 @@ def _choices() -> dict[str | None, list[tuple[str, str, int, tuple[str, ...], st
 CHOICES = _choices()
 
 
-class Repair:
-    """Dynamic programme over the turns of one conversation, one at a time.
+STATES = list(FOLLOWS)
 
-    For each state it holds the least cost of a legal sequence that ends there, and the choices that lead there as
-    a linked list. Every FLUSH turns the choices that all states share are settled and given out, so memory
-    doesn't grow with the conversation but where its repair is still open.
-    """
 
-    def __init__(self):
-        self.best: dict[str, tuple[int, tuple | None]] = {"start": (0, None)}
-        self.turns = 0
-
-    def add(self, role: str | None, text: str) -> list[tuple]:
-        new: dict[str, tuple[int, tuple | None]] = {}
-        for before, after, cost, route, how in CHOICES[role]:
-            if before in self.best:
-                total = self.best[before][0] + cost
-                if after not in new or total < new[after][0]:
-                    new[after] = (total, (self.best[before][1], after, route, how, text, cost))
-        self.best = new
-        self.turns += 1
-        return self._settle() if self.turns % FLUSH == 0 else []
-
-    def _settle(self) -> list[tuple]:
-        paths = [self._path(n) for _, n in self.best.values()]
-        shared = 0
-        for steps in zip(*paths, strict=False):
-            if any(s is not steps[0] for s in steps):
-                break
-            shared += 1
-        if not shared:
-            return []
-        out, cut = paths[0][:shared], paths[0][shared - 1]
-        rebuilt: dict[int, tuple | None] = {id(cut): None}
-        for path in paths:
-            for node in path[shared:]:
-                if id(node) not in rebuilt:
-                    rebuilt[id(node)] = (rebuilt[id(node[0])], *node[1:])
-        self.best = {s: (c, rebuilt[id(n)]) for s, (c, n) in self.best.items()}
-        return [n[1:] for n in out]
-
-    @staticmethod
-    def _path(node: tuple | None) -> list[tuple]:
-        out = []
-        while node is not None:
-            out.append(node)
-            node = node[0]
-        return out[::-1]
-
-    def end(self) -> list[tuple]:
-        """The choices that are still open, and the empty turns that a legal end needs."""
-        if not self.turns:
-            return []
-        ends = [(c + INSERT * len(ROUTES[s]["assistant"]), list(FOLLOWS).index(s), s, n) for s, (c, n) in self.best.items()]
-        _, _, state, node = min(ends, key=lambda x: x[:2])
-        rest = [n[1:] for n in self._path(node)]
-        return rest + [(role, (), "insert", "", INSERT) for role in ROUTES[state]["assistant"]]
+def decide(roles: Iterable[str | None]) -> bytes:
+    """For each turn the place in CHOICES, by its role, of what a legal sequence of least cost does with it.
+
+    Ties go to the choice that comes first, at the end to the state that does. Four bytes are held for each turn.
+    """
+    best: dict[str, int] = {"start": 0}
+    came, known = bytearray(), bytearray()  # the choice that leads to each state, and the role
+    names = list(CHOICES)
+    for role in roles:
+        new: dict[str, int] = {}
+        row = [255] * len(STATES)
+        for k, (before, after, cost, _, _) in enumerate(CHOICES[role]):
+            if before in best:
+                total = best[before] + cost
+                if after not in new or total < new[after]:
+                    new[after], row[STATES.index(after)] = total, k
+        best = new
+        came += bytes(row[1:])
+        known.append(names.index(role))
+    if not known:
+        return b""
+    width = len(STATES) - 1
+    state = min(best, key=lambda s: (best[s] + INSERT * len(ROUTES[s]["assistant"]), STATES.index(s)))
+    out = bytearray(len(known))
+    for i in range(len(known) - 1, -1, -1):
+        out[i] = came[i * width + STATES.index(state) - 1]
+        state = CHOICES[names[known[i]]][out[i]][0]
+    return bytes(out)
 
 
 def known_role(role: str | None) -> str | None:
@@ -135,30 +114,74 @@ def render(role: str, text: str) -> str:
     return f"<|im_start|>{role}\n{text.replace('<|im_', '<| im_')}<|im_end|>\n"
 
 
-def repaired(turns: Iterator[tuple[str | None, str | None]]) -> Iterator[tuple[int, str, str, int, int]]:
-    """(position, role, text, turns that went into it, cost) of the repaired sequence of (role, text)."""
-    machine, position, now = Repair(), 0, None
-
-    def shape(steps: list[tuple]) -> Iterator[tuple[int, str, str, int, int]]:
-        nonlocal position, now
-        for role, route, how, text, cost in steps:
-            if how.startswith("merge"):
-                now[2].append(text)
-                now[3] += 1
-                now[4] += cost
-                continue
-            for empty in (*route, None):
-                if now is not None:
-                    yield position, now[1], "\n".join(now[2]), now[3], now[4]
-                    position += 1
-                put_in = empty is not None or how == "insert"
-                now = [None, empty or role, [""] if put_in else [text], 0 if put_in else 1, INSERT if put_in else cost - INSERT * len(route)]
-
-    for role, text in turns:
-        yield from shape(machine.add(known_role(role), text or ""))
-    yield from shape(machine.end())
-    if now is not None:
-        yield position, now[1], "\n".join(now[2]), now[3], now[4]
+def repaired(turns: Iterable[tuple[str | None, str | None]], choices: bytes) -> Iterator[tuple[int, str, str, int, int]]:
+    """(position, role, text, turns that went into it, cost) of the repaired sequence of (known role, text), by what decide() chose.
+
+    A turn is given out as soon as the next one isn't merged into it.
+    """
+    position, now, state = 0, None, "start"
+
+    def done() -> Iterator[tuple[int, str, str, int, int]]:
+        nonlocal position
+        if now is not None:
+            yield position, now[0], "\n".join(now[1]), now[2], now[3]
+            position += 1
+
+    for (role, text), k in zip(turns, choices, strict=True):
+        _, state, cost, route, how = CHOICES[role][k]
+        if how.startswith("merge"):
+            now[1].append(text or "")
+            now[2] += 1
+            now[3] += cost
+            continue
+        for empty in route:
+            yield from done()
+            now = [empty, [""], 0, INSERT]
+        yield from done()
+        now = [state, [text or ""], 1, cost - INSERT * len(route)]
+    if state == "start":
+        return
+    for empty in ROUTES[state]["assistant"]:
+        yield from done()
+        now = [empty, [""], 0, INSERT]
+    yield from done()
+
+
+def _conversations(rows: Iterator[tuple]) -> Iterator[tuple[int | None, Iterator[tuple]]]:
+    """Runs of rows of one conversation, the first field, each to be read before the next; a row without one is a run."""
+    ahead = next(rows, None)
+
+    def run(conv: int | None) -> Iterator[tuple]:
+        nonlocal ahead
+        while ahead is not None and ahead[0] == conv:
+            now, ahead = ahead, next(rows, None)
+            yield now
+            if conv is None:
+                return
+
+    while ahead is not None:
+        conv = ahead[0]
+        own = run(conv)
+        yield conv, own
+        for _ in own:
+            pass
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
+def decisions(rows: DataFrame) -> DataFrame:
+    """(conv_id, choices): a byte for each turn of every conversation of rows (conv_id, turn, role), by turn and role."""
+    rows = rows.where("conv_id is not null").select("conv_id", "turn", "role").repartition(partitions(rows.sparkSession), "conv_id")
+    rows = rows.sortWithinPartitions("conv_id", "turn", "role").select("conv_id", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for conv, turns in _conversations(_rows(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([decide(known_role(r) for _, r in turns)], pa.binary())], ["conv_id", "choices"])
+
+    return rows.mapInArrow(run, "conv_id long, choices binary")
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
@@ -168,48 +191,85 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     conversations apart. n_turns is 0 for an empty turn put in. Turns go by turn, then role, then text, nulls
     first; repeated rows are turns of their own. A null text is an empty one, an unknown role takes the one that
     costs least. A row without a conv_id is a conversation by itself. No rows give no rows; other columns are
-    not read. Conversations are streamed through sorted partitions and never gathered.
+    not read. Texts are streamed through sorted partitions; of a conversation a task holds a byte for each turn, and the
+    texts of turns that are merged into one, as they are one row.
     """
     own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    rows = rows.repartition(partitions(conversations.sparkSession), "conv_id", own).sortWithinPartitions("conv_id", "turn", "role", "text")
+    none = F.lit(None)
+    # the choices of a conversation come before its turns
+    first = decisions(rows).select("conv_id", none.cast("long").alias("turn"), none.cast("string").alias("role"), none.cast("string").alias("text"), "choices", F.lit(0).alias("kind"))
+    rows = first.union(rows.select("conv_id", "turn", "role", "text", none.cast("binary").alias("choices"), F.lit(1).alias("kind")))
+    rows = rows.repartition(partitions(conversations.sparkSession), "conv_id", own).sortWithinPartitions("conv_id", "kind", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "position", "role", "text", "n_turns", "cost", "rendered"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "text")], strict=True)
-
         held: list[tuple] = []
-        source = rows()
-        ahead = next(source, None)
-
-        def conversation(conv: int | None) -> Iterator[tuple[str | None, str | None]]:
-            nonlocal ahead
-            while ahead is not None and ahead[0] == conv:
-                now, ahead = ahead, next(source, None)
-                yield now[1], now[2]
-                if conv is None:
-                    return
+        size = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal size
             out = pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], t) for i, t in enumerate(types)], names)
             held.clear()
+            size = 0
             return out
 
-        while ahead is not None:
-            conv = ahead[0]
-            for position, role, text, n, cost in repaired(conversation(conv)):
+        def turns(own: Iterator[tuple]) -> Iterator[tuple[str | None, str | None]]:
+            return ((known_role(role), text) for _, role, text, _ in own)
+
+        for conv, own in _conversations(_rows(batches)):
+            if conv is None:
+                (turn,) = turns(own)
+                out = repaired([turn], decide([turn[0]]))
+            else:
+                out = repaired(turns(own), next(own)[3])
+            for position, role, text, n, cost in out:
                 held.append((conv, position, role, text, n, cost, render(role, text)))
-                if len(held) >= 2000:
+                size += len(text)
+                if len(held) >= 2000 or size > BATCH_CHARS:
                     yield flush()
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "conv_id long, position long, role string, text string, n_turns long, cost long, rendered string")
+    return rows.select("conv_id", "role", "text", "choices").mapInArrow(run, "conv_id long, position long, role string, text string, n_turns long, cost long, rendered string")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired turns of all conversations; nulls, ties, empty and very long texts are as in format_turns()."""
     return format_turns(table(spark, sf_dir, "conversations")).select("conv_id", "position", "role", "n_turns", "cost", "rendered")
+
+
+def _sql() -> str:
+    """The same dynamic programme as recursive SQL, made from the tables of choices and routes."""
+
+    def text(x: str | None) -> str:
+        return "NULL" if x is None else f"'{x}'"
+
+    choices = ", ".join(f"({text(role)}, {k}, '{before}', '{after}', {cost}, [{', '.join(map(text, route))}]::VARCHAR[], {how.startswith('merge')})" for role, rows in CHOICES.items() for k, (before, after, cost, route, how) in enumerate(rows))
+    ends = ", ".join(f"('{s}', {STATES.index(s)}, [{', '.join(map(text, ROUTES[s]['assistant']))}]::VARCHAR[])" for s in STATES)
+    names = " ".join(f"WHEN '{x}' THEN '{y}'" for x, y in [*ALIASES.items(), *((r, r) for r in ("system", "user", "assistant"))])
+    return f"""
+    WITH RECURSIVE own AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN -1 - row_number() OVER () ELSE conv_id END AS key, turn, role, coalesce(text, '') AS text,
+        CASE lower(trim(role)) {names} END AS known FROM conversations),
+      t AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM own),
+      c(role, k, before, after, cost, route, merges) AS (VALUES {choices}),
+      e(state, place, route) AS (VALUES {ends}),
+      dp AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, 'start' AS state, CAST(0 AS BIGINT) AS total, -1 AS k, '' AS before FROM t
+        UNION ALL SELECT key, i, after, total, k, before FROM (
+          SELECT dp.key, t.i, c.after, CAST(dp.total + c.cost AS BIGINT) AS total, c.k, c.before, row_number() OVER (PARTITION BY dp.key, c.after ORDER BY dp.total + c.cost, c.k) AS rn
+          FROM dp JOIN t ON t.key = dp.key AND t.i = dp.i + 1 JOIN c ON c.role IS NOT DISTINCT FROM t.known AND c.before = dp.state) WHERE rn = 1),
+      final AS (SELECT dp.*, row_number() OVER (PARTITION BY key ORDER BY total + {INSERT} * len(e.route), e.place) AS rn
+        FROM dp JOIN e USING (state) JOIN (SELECT key, max(i) AS i FROM t GROUP BY key) USING (key, i)),
+      back AS (SELECT key, i, state, k, before FROM final WHERE rn = 1
+        UNION ALL SELECT dp.key, dp.i, dp.state, dp.k, dp.before FROM back JOIN dp ON dp.key = back.key AND dp.i = back.i - 1 AND dp.state = back.before WHERE back.i > 1),
+      path AS (SELECT t.key, t.conv_id, t.i, t.text, c.after, c.cost, c.route, c.merges, sum(CASE WHEN c.merges THEN 0 ELSE 1 END) OVER w AS g, sum(CASE WHEN c.merges THEN 0 ELSE len(c.route) + 1 END) OVER w AS upto
+        FROM back JOIN t USING (key, i) JOIN c ON c.role IS NOT DISTINCT FROM t.known AND c.k = back.k WINDOW w AS (PARTITION BY t.key ORDER BY t.i)),
+      turns AS (SELECT conv_id, max(upto) - 1 AS position, any_value(after) AS role, string_agg(text, chr(10) ORDER BY i) AS text, count(*) AS n_turns, sum(cost - {INSERT} * len(route)) AS cost FROM path GROUP BY key, conv_id, g
+        UNION ALL SELECT conv_id, upto - len(route) - 2 + x.at, route[x.at], '', 0, {INSERT} FROM path, LATERAL (SELECT unnest(range(1, len(route) + 1)) AS at) x
+        UNION ALL SELECT t.conv_id, last.upto + x.at - 1, e.route[x.at], '', 0, {INSERT} FROM final JOIN e USING (state) JOIN (SELECT key, max(upto) AS upto FROM path GROUP BY key) last USING (key) JOIN t ON t.key = final.key AND t.i = 1, LATERAL (SELECT unnest(range(1, len(e.route) + 1)) AS at) x WHERE final.rn = 1)
+    SELECT conv_id, CAST(position AS BIGINT) AS position, role, CAST(n_turns AS BIGINT) AS n_turns, CAST(cost AS BIGINT) AS cost,
+      '<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS rendered FROM turns"""
+
+
+ORACLE = _sql()
