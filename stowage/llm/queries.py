@@ -17,4 +17,4 @@ QUERIES = {
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {"op7_url_filter": urlfilter.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op2_suffix_dedup": suffixes.ORACLE, "op7_url_filter": urlfilter.ORACLE}

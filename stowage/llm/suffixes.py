@@ -8,7 +8,13 @@ is alone in its group is done. Digits are dealt in two rounds:
    hash (a minimiser), so equal windows choose it at the same place. Neighbouring windows share it, which
    leaves one entry for about fourteen suffixes; each chunk of documents sends its distinct digits once.
 2. Where a digit occurs in two documents, the bytes around it follow. They are ordered byte by byte, to the
-   right and to the left of the digit, and each of the windows around it takes the pair of its two groups.
+   right and to the left of the digit, and each of the windows around it takes the pair of its two groups. The
+   contexts of a digit that over HOT chunks have would be one large group: there each window is a digit of its own,
+   dealt by 128 bits of its hash.
+
+This is a partition refinement with the digits of a suffix taken in an order of their own, first the chosen 24 bytes,
+then those around them. The order of passes decides how groups are ordered, not what is in them: two suffixes are in
+one group after the last pass if all 50 bytes agree, in whichever order these were looked at.
 
 Every round is a shuffle by digit of what the chunks have, combined per chunk beforehand, and of answers
 back to the chunks. A digit or window that a third of all documents share is one entry per chunk.
@@ -34,6 +40,10 @@ from stowage.llm.common import partitions, table
 THRESHOLD, DIGIT = 50, 24
 #: Bytes of text that are worked on together (a longer document is a chunk of its own), and chunks for each bucket of digits.
 CHUNK, SHARE = 4 << 20, 2
+#: Chunks over which a digit's contexts aren't gathered in one group.
+HOT = 64
+#: Bytes of text in a partition, at most, but for a longer document.
+PARTITION = 64 << 20
 #: Windows whose digits are chosen in one step.
 STEP = 1 << 16
 #: Stands for the id of a document that has none: larger than any other.
@@ -124,11 +134,12 @@ class Chunk:
     def repeated(self, answers: pd.DataFrame, buckets: int) -> None:
         """Keep the digits that the answers of the first round call repeated, with what stands around them."""
         bits = {b: x for b, x in zip(answers["bucket"], answers["data"], strict=True)}
-        flag = np.zeros(len(self.short), bool)
+        flag = np.zeros((2, len(self.short)), bool)
         for b, s in self.split(self.short, buckets):
-            flag[s] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=s.stop - s.start).astype(bool)
-        keep = flag[self.of]
+            flag[:, s] = np.unpackbits(np.frombuffer(bits[b], np.uint8).reshape(2, -1), axis=1, count=s.stop - s.start).astype(bool)
+        keep = flag[0][self.of]
         self.places, self.doc, self.of = self.places[keep], self.doc[keep], self.of[keep]
+        hot = flag[1][self.of]
         side, width = self.side, DIGIT + 2 * self.side
         padded = np.concatenate((np.zeros(side, np.uint8), self.buf, np.zeros(side, np.uint8)))
         self.left = np.minimum(side, self.places - self.starts[self.doc]).astype(np.uint8)
@@ -146,11 +157,34 @@ class Chunk:
         self.context = np.fromiter((seen.setdefault(flat[i : i + w], len(seen)) for i in range(0, len(flat), w)), np.int64, len(self.places))
         new = np.zeros(len(seen), np.int64)
         new[self.context[::-1]] = np.arange(len(self.places))[::-1]  # first row of each, which has the least id
-        order = np.argsort(self.short[self.of[new]], kind="stable")
+        cold = np.flatnonzero(~hot[new])
+        order = cold[np.argsort(self.short[self.of[new[cold]]], kind="stable")]
         self.sent = new[order]
-        self.rank = np.empty(len(order), np.int64)
+        self.rank = np.full(len(new), -1)
         self.rank[order] = np.arange(len(order))
         self.around = around
+        self._windows(new, np.flatnonzero(hot[new]))
+
+    def _windows(self, new: np.ndarray, hot: np.ndarray) -> None:
+        """Hashes of the windows of contexts with a hot digit, in order, the least id of each, and which a context has."""
+        side, seen, least = self.side, {}, []
+        window = np.full((len(new), side + 1), -1)
+        for c in hot.tolist():
+            r = new[c]
+            row, own = self.around[r].tobytes(), int(self.ids[self.doc[r]])
+            for o in range(max(0, side - int(self.right[r])), min(side, int(self.left[r])) + 1):
+                digest = hashlib.blake2b(row[side - o : side - o + self.threshold], digest_size=16).digest()
+                if (k := seen.setdefault(digest, len(seen))) == len(least):
+                    least.append(own)
+                least[k] = min(least[k], own)
+                window[c, o] = k
+        order = sorted(range(len(least)), key=list(seen).__getitem__)
+        place = np.empty(len(order) + 1, np.int64)
+        place[order], place[-1] = np.arange(len(order)), -1
+        self.window = place[window]
+        self.digests = np.frombuffer(b"".join(sorted(seen)), "V16") if seen else np.zeros(0, "V16")
+        self.least = np.array(least, np.int64)[order]
+        self.high = np.frombuffer(self.digests.tobytes(), ">u8")[::2].astype(np.uint64) >> np.uint64(16)
 
     def covered(self, answers: pd.DataFrame, buckets: int) -> np.ndarray:
         """Bytes in a window that a document with a lesser id has, too, by the answers of the second round."""
@@ -158,9 +192,19 @@ class Chunk:
         mask = np.zeros(len(self.sent), np.uint64)
         for b, s in self.split(self.short[self.of[self.sent]], buckets):
             mask[s] = np.frombuffer(zlib.decompress(masks[b]), "<u8")
-        mask = mask[self.rank[self.context]]
-        least = self.ids[self.doc[self.sent]][self.rank[self.context]]
-        mask[self.ids[self.doc] > least] = ~np.uint64(0)
+        flag = np.zeros(len(self.digests), bool)
+        for b, s in self.split(self.high, buckets):
+            flag[s] = np.unpackbits(np.frombuffer(masks[-1 - b], np.uint8), count=s.stop - s.start).astype(bool)
+        rank, ids = self.rank[self.context], self.ids[self.doc]
+        cold = rank >= 0
+        own = mask[rank[cold]]
+        own[ids[cold] > self.ids[self.doc[self.sent]][rank[cold]]] = ~np.uint64(0)
+        mask = np.zeros(len(rank), np.uint64)
+        mask[cold] = own
+        if len(flag):
+            window = self.window[self.context[~cold]]
+            hit = (window >= 0) & (flag[window] | (ids[~cold][:, None] > self.least[window]))
+            mask[~cold] = np.bitwise_or.reduce(hit.astype(np.uint64) << np.arange(self.side + 1, dtype=np.uint64), axis=1)
         change = np.zeros(len(self.buf) + 1, np.int32)
         for o in range(self.side + 1):
             hit = (mask >> np.uint64(o) & np.uint64(1)).astype(bool) & (self.left >= o) & (self.right >= self.side - o)
@@ -189,13 +233,27 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _answer_first(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bit for each digit that a chunk has sent: it is in two documents."""
+    """Two bits for each digit that a chunk has sent: it is in two documents, and over HOT chunks have it."""
     _release()
     sent = [_unpack(x) for x in pdf["data"]]
     values, which = np.unique(np.concatenate(sent) >> np.uint64(1), return_inverse=True)
-    twice = np.bincount(which) > 1
+    chunks = np.bincount(which)
+    twice, hot = chunks > 1, chunks > HOT
     twice[which[(np.concatenate(sent) & np.uint64(1)).astype(bool)]] = True
-    bits = np.split(twice[which], np.cumsum([len(x) for x in sent])[:-1])
+    ends = np.cumsum([len(x) for x in sent])[:-1]
+    bits = zip(np.split(twice[which], ends), np.split(hot[which], ends), strict=True)
+    return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "data": [np.packbits(np.stack(b), axis=1).tobytes() for b in bits]})
+
+
+def _answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bit for each window that a chunk has sent: a document of a lesser id has it, too."""
+    sent = [zlib.decompress(x) for x in pdf["data"]]
+    digests = [np.frombuffer(x, "V16", len(x) // 24) for x in sent]
+    ids = np.concatenate([np.frombuffer(x, "<i8", len(x) // 24, len(x) // 24 * 16) for x in sent])
+    _, which = np.unique(np.concatenate(digests), return_inverse=True)
+    least = np.full(int(which.max(initial=-1)) + 1, NO_ID)
+    np.minimum.at(least, which, ids)
+    bits = np.split(least[which] < ids, np.cumsum([len(x) for x in digests])[:-1])
     return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "data": [np.packbits(b).tobytes() for b in bits]})
 
 
@@ -240,7 +298,10 @@ def _answer_second(threshold: int):
     width = DIGIT + 2 * side + 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Buckets of windows have negative numbers."""
         _release()
+        if pdf["bucket"].iloc[0] < 0:
+            return _answer_windows(pdf)
         flat, ids, sizes = [], [], []
         for data in pdf["data"]:
             raw = zlib.decompress(data)
@@ -278,7 +339,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK))
     buckets = -(-chunks // SHARE)
-    parts = min(chunks, max(partitions(spark), 1))
+    parts = min(chunks, max(partitions(spark), -(-total // PARTITION)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartition(parts, "chunk")
     sent = "chunk int, bucket int, data binary"
 
@@ -297,6 +358,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
         for b, s in chunk.split(chunk.short[chunk.of[at]], buckets):
             ids = chunk.ids[chunk.doc[at[s]]].astype("<i8")
             found.append((int(pdf["chunk"].iloc[0]), b, zlib.compress(chunk.around[at[s]].tobytes() + ids.tobytes(), 1)))
+        for b, s in chunk.split(chunk.high, buckets):
+            found.append((int(pdf["chunk"].iloc[0]), -1 - b, zlib.compress(chunk.digests[s].tobytes() + chunk.least[s].astype("<i8").tobytes(), 1)))
         return pd.DataFrame(found, columns=["chunk", "bucket", "data"])
 
     def third(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -326,6 +389,25 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that every document loses to those of lesser ids; null, empty and very long texts and repeated ids are as in remove_repeats()."""
     got = remove_repeats(table(spark, sf_dir, "documents"), texts=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
     return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: Whole texts as bytes: windows that also start in a document of a lesser id, the runs that they cover, and what is left.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CAST(encode(coalesce(text, '')) AS BLOB) AS b FROM documents),
+  n AS (SELECT r, doc_id, b, octet_length(b) AS n FROM d),
+  w AS (SELECT r, doc_id, p, b[p + 1:p + {THRESHOLD}] AS s FROM n, LATERAL (SELECT unnest(range(0, n - {THRESHOLD - 1})) AS p) x),
+  f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+  h AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM w JOIN f USING (s) WHERE least < doc_id),
+  g AS (SELECT r, p, sum(CASE WHEN p <= before + {THRESHOLD} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS run FROM h),
+  spans AS (SELECT r, min(p) AS a, max(p) + {THRESHOLD} AS z FROM g GROUP BY r, run),
+  edges AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM spans),
+  kept AS (SELECT e.r, e.a, hex(n.b[e.since + 1:e.a]) AS x FROM edges e JOIN n USING (r)
+           UNION ALL SELECT n.r, n.n + 1, hex(n.b[coalesce(t.z, 0) + 1:n.n]) FROM n LEFT JOIN (SELECT r, max(z) AS z FROM spans GROUP BY r) t USING (r)),
+  rest AS (SELECT r, sha256(unhex(string_agg(x, '' ORDER BY a))) AS kept_sha256 FROM kept GROUP BY r),
+  lost AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM n JOIN rest USING (r) LEFT JOIN lost USING (r)"""
