@@ -19,8 +19,10 @@ from stowage.llm.common import cut, fresh, table
 SHINGLE, SIMILARITY = 5, 0.8
 #: Blocks of a fingerprint, bits of a block, and bits that a block may differ in; the radius is (NEAR + 1) * BLOCKS - 1.
 BLOCKS, BITS, NEAR = 4, 16, 3
-#: Rows of a few longs that are broadcast at most.
-BROADCAST = 1_000_000
+#: Rows of a few longs that are broadcast at most; beyond it, shingles are dealt by hash and so many salts.
+BROADCAST, SALTS = 1_000_000, 16
+#: Words of a document whose windows are looked at together, or those of the item if it has more.
+SEGMENT = 8192
 
 
 def words_of(text: Column) -> Column:
@@ -87,8 +89,8 @@ def _windows() -> Column:
     at = lambda i: F.get("hits", i)["at"]
 
     def starts(i: Column) -> Column:
-        low = F.greatest(at(i + F.col("need") - 1) - F.col("own") + 1, F.coalesce(at(i - 1) + 1, F.lit(0)), F.lit(0))
-        high = F.least(at(i), F.col("n") - F.col("width") + 1 - F.col("own"))
+        low = F.greatest(at(i + F.col("need") - 1) - F.col("own") + 1, F.coalesce(at(i - 1) + 1, F.lit(0)), F.col("segment") * F.col("long"))
+        high = F.least(at(i), F.col("n") - F.col("width") + 1 - F.col("own"), (F.col("segment") + 1) * F.col("long") - 1)
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
     def judged(i: Column, start: Column) -> Column:
@@ -104,7 +106,8 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     start is the first word of the best window (the first of several), similarity its weighted Jaccard
     similarity. row is a hash of the text, by which rows of one doc_id, or without one, are told apart.
     Null and blank texts and items hold no words and match nothing; items of fewer than five words have one
-    shingle, of all their words. A repeated item_id counts by each of its texts. Empty tables give no rows.
+    shingle, of all their words. A repeated item_id counts by each of its texts. Very long texts are looked at whole, in
+    segments whose windows are judged apart. Columns beside doc_id, item_id and text are not read. Empty tables give no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long"), words_of(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
     items = cut(items.select("item_id", F.xxhash64("words").alias("t"), "words", F.least(F.size("words"), F.lit(SHINGLE)).alias("width")).distinct())
@@ -121,12 +124,22 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         placed = own.where(F.size("words") >= width).select("doc_id", "row", F.size("words").alias("n"), "words", F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("at"))
         placed = placed.select("doc_id", "row", "n", "at", _shingle(F.col("words"), F.col("at"), width).alias("s"))
         wanted = known.where(F.col("width") == width)
-        met = placed.join(F.broadcast(wanted) if small else wanted, "s").select("doc_id", "row", "t", "size", "width", "n", "at", "s", "times")
+        if small:
+            met = placed.join(F.broadcast(wanted), "s")
+        else:
+            salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+            met = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "at"), F.lit(SALTS)).cast("int")).join(wanted.withColumn("salt", salts), ["s", "salt"])
+        met = met.select("doc_id", "row", "t", "size", "width", "n", "at", "s", "times")
         hits = met if hits is None else hits.union(met)
-    hits = hits.groupBy("doc_id", "row", "t", "size", "width", "n").agg(F.collect_set(F.struct("at", "s", "times")).alias("hits"))
     # shingles of a window and of the item, and how many a window must share
     hits = hits.withColumn("own", F.least("n", "size") - F.col("width") + 1).withColumn("all", F.col("own") + F.col("size") - F.col("width") + 1)
     hits = hits.withColumn("need", F.greatest(F.ceil(F.col("all") * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)).cast("int"), F.lit(1)))
+    # a window belongs to the segment that it begins in; it ends there or in the next, which is no shorter than it
+    hits = hits.withColumn("long", F.greatest(F.lit(SEGMENT), "own")).withColumn("segment", F.expr("at div long").cast("int"))
+    before = F.when((F.expr("at % long") < F.col("own") - 1) & (F.col("segment") > 0), F.array(F.col("segment"), F.col("segment") - 1)).otherwise(F.array("segment"))
+    hits = hits.withColumn("segment", F.explode(before))
+    keys = ["doc_id", "row", "t", "segment", "n", "width", "own", "all", "need", "long"]
+    hits = hits.groupBy(*keys).agg(F.collect_set(F.struct("at", "s", "times")).alias("hits"))
     hits = hits.where(F.size("hits") >= F.col("need")).withColumn("hits", F.array_sort("hits"))
     found = cut(hits.select("doc_id", "row", "t", F.array_max(_windows()).alias("x")).where(F.col("x.similarity") >= similarity))
     found = found.join(items.select("t", "item_id"), "t")
@@ -142,5 +155,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark, by item; corners are as in find()."""
     found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"))
