@@ -50,14 +50,15 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
-def covering_masks(radius: int) -> list[int]:
+def covering_masks(radius: int, run: int = 1) -> list[int]:
     """2^(radius+1) - 1 masks of 64 bits: any two words that differ in at most `radius` bits agree on one of them.
 
     Bit i has a vector m(i) over GF(2) with radius+1 components; mask v keeps the bits whose m(i) is not
     orthogonal to v. `radius` equations leave a non-zero v that is orthogonal to m(i) of every differing bit.
+    run: neighbouring bits that have one vector; masks of another run cut the bits otherwise.
     """
     n = (1 << (radius + 1)) - 1
-    masks = [sum(1 << i for i in range(64) if ((1 + i % n) & v).bit_count() & 1) for v in range(1, n + 1)]
+    masks = [sum(1 << i for i in range(64) if ((1 + i // run % n) & v).bit_count() & 1) for v in range(1, n + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -116,22 +117,31 @@ def _bucket_links(radius: int):
     return run
 
 
+def _buckets(rows: DataFrame, keys: list[str], masks: list[int], name: str) -> tuple[list[str], DataFrame]:
+    """rows (*keys, fp) filed once for each mask, of the buckets with several fingerprints, with their number n."""
+    tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
+    filed = rows.select(*keys, "fp", F.explode(tables).alias("x")).select(*keys, F.col("x.t").alias(f"t{name}"), F.col("x.key").alias(f"key{name}"), "fp")
+    own = [*keys, f"t{name}", f"key{name}"]
+    return own, filed.join(filed.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1"), own)
+
+
 def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within the radius.
 
     Complete: every pair within the radius shares a bucket of some mask. A bucket of over `block`
-    fingerprints is cut into blocks and every pair of blocks is compared apart, so no task holds more
-    than two blocks; each comparison returns a spanning forest and not all pairs.
+    fingerprints is filed anew by masks that cut the bits left free by the first ones, where every pair within the
+    radius meets again. The two masks leave so few bits free that a bucket holds a bounded number of different
+    fingerprints, whatever the input; if that is over `block`, pairs of blocks are compared apart. No task holds more
+    than two blocks, and each comparison returns a spanning forest and not all pairs.
     """
-    spark, masks = fps.sparkSession, covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
-    rows = fps.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, ["t", "key"])
-    n = F.ceil(F.col("n") / block).cast("long")
-    rows = rows.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    spark, none = fps.sparkSession, F.lit(0).cast("long")
+    keys, first = _buckets(fps.select("fp"), [], covering_masks(radius), "")
+    small = first.where(F.col("n") <= block).select(*keys, none.alias("t2"), none.alias("key2"), "n", "fp")
+    again, second = _buckets(first.where(F.col("n") > block).select(*keys, "fp"), keys, covering_masks(radius, 4), "2")
+    rows = small.union(second.select(*again, "n", "fp"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("t", "key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("pair"), "fp")
+    rows = rows.select("t", "key", F.xxhash64("t2", "key2", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "fp")
     rows = rows.repartition(partitions(spark), "t", "key", "pair").sortWithinPartitions("t", "key", "pair")
     return rows.mapInArrow(_bucket_links(radius), "a long, b long").distinct()
 
@@ -144,7 +154,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     Fingerprints link at `radius` or fewer differing bits; equal ones are one node, so copies cost no
     links. Rows without a doc_id count as documents but never name a component (null if no member has
     an id); a repeated doc_id gives a row each. Texts that are null or blank have fingerprint 0 and link
-    like any other. No documents give no rows. Columns beside doc_id and text are not looked at.
+    like any other. No documents give no rows. Very long texts are
+    fingerprinted whole. Columns beside doc_id and text are not looked at.
     """
     fps = cut(fingerprints(docs, width))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -178,5 +189,6 @@ def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null, blank and very long texts and repeated ids are as in near_duplicates()."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
