@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.common import table
+from stowage.llm.common import slices, table
 
 #: Fixed values of the model format: types of a piece, and the mark that stands for a space.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -144,8 +144,11 @@ class OffsetEncoder:
             put(self.space, at)
         return bytes(out), np.array([*places, at], np.int64)
 
-    def encode(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Ids with begin and end, and first and last original byte of each; empty spans for control pieces and what was put in."""
+    def encode(self, text: str | None) -> tuple[list[int], np.ndarray | None, np.ndarray | None]:
+        """Ids with begin and end, and first and last original byte of each; empty spans for control pieces and what was put in.
+
+        Where pieces don't stand for the bytes of our own normalisation, the ids are given and no bytes.
+        """
         text = text or ""
         ids = self.library.encode(text, out_type=int, add_bos=True, add_eos=True, num_threads=1)
         _, places = self.normalise(text.encode("utf-8", "surrogatepass"))
@@ -155,7 +158,7 @@ class OffsetEncoder:
             sizes = np.array([len(surface[i].encode()) if n < 0 else n for i, n in enumerate(sizes.tolist())], np.int64)
         ends = np.cumsum(sizes)
         if ends[-1] != len(places) - 1:
-            raise ValueError(f"pieces stand for {ends[-1]} bytes of {len(places) - 1}")
+            return ids, None, None
         return ids, places[ends - sizes], places[ends]
 
     def decode(self, ids: list[int]) -> str:
@@ -172,15 +175,15 @@ def public_model(name: str = "piece_bpe_32k.model") -> bytes:
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, ids, begins, ends) per row: piece i came from bytes begins[i] to ends[i] of the text in UTF-8.
 
-    A null text encodes as an empty one, to the begin and end ids alone. Rows with null or repeated ids are
+    A null text encodes as an empty one, to the begin and end ids alone. Very long texts are encoded whole, in a slice of
+    their own. begins and ends are null where pieces can't be aligned. Rows with null or repeated ids are
     encoded like any other; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = OffsetEncoder(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch, rows=64):
                 got = [encoder.encode(t) for t in part.column("text").to_pylist()]
                 arrays = [pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", "ids", "begins", "ends"])
@@ -192,20 +195,21 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, n_covered) per row, without writing the ids out.
 
-    n_covered counts the bytes of the text that some piece's span holds; nulls are as in encode().
+    n_covered counts the bytes of the text that some piece's span holds, null where pieces can't be aligned; else as in encode().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = OffsetEncoder(model)
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch)):
             n, ids_sha, text_sha, size, covered = [], [], [], [], []
             for cell in batch.column("text"):
-                ids, begins, ends = encoder.encode(cell.as_py())
+                text = cell.as_py() or ""
+                ids, begins, ends = encoder.encode(text)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(encoder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-                size.append(int(ends[-1]))
-                covered.append(int((ends - np.maximum(begins, np.concatenate(([0], np.maximum.accumulate(ends)[:-1])))).clip(0).sum()))
+                size.append(len(text.encode("utf-8", "surrogatepass")))
+                covered.append(None if ends is None else int((ends - np.maximum(begins, np.concatenate(([0], np.maximum.accumulate(ends)[:-1])))).clip(0).sum()))
             arrays = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(size, pa.int64()), pa.array(covered, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "n_covered"])
 
@@ -214,4 +218,5 @@ def digests(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of their decoding; null, empty and very long texts are as in encode()."""
     return digests(table(spark, sf_dir, "documents"), public_model())

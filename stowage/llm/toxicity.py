@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.common import learns, table
+from stowage.llm.common import learns, ship, slices, table
 
 #: Labelled texts of each class that are learnt from, and characters of each; the sample is bounded by these.
 TEXTS, TEXT_CHARS = 1500, 12_000
@@ -25,6 +25,11 @@ CLEAR, LEAST = 0.1, 0.15
 CACHE = 300_000
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, each lower-cased by itself, so that their places are those in the text."""
+    return [w.lower() for w in WORD.findall(text)] if not text.isascii() else WORD.findall(text.lower())
+
+
 def features(word: str) -> list[str]:
     """The word, and its prefixes of 3 to 7 characters."""
     return ["=" + word, *[word[:k] for k in PREFIXES if k < len(word)]]
@@ -125,7 +130,7 @@ def label_tokens(words: list[list[str]], toxic: np.ndarray) -> np.ndarray:
 def train(texts: list[str], toxic: list[int], rounds: int = 40, penalty: float = 1e-3) -> Tagger:
     """Maximum likelihood of the labelled tokens by adaptive gradient steps, then the logistic layer by Newton steps."""
     model, y = Tagger(), np.array(toxic, np.int64)
-    words = [WORD.findall(t.lower()) for t in texts]
+    words = [words_of(t) for t in texts]
     pairs = [(w, v) for w, v in zip(words, y, strict=True) if w]
     words, y = [w for w, _ in pairs], np.array([v for _, v in pairs], np.int64)
     if not words or not y.any() or y.all():
@@ -202,16 +207,13 @@ def score(docs: DataFrame, model: Tagger) -> DataFrame:
     Whole texts are tagged, whatever their length. Null and empty texts get the score of no token. Rows
     with a null or repeated doc_id are scored like any other; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = ship(docs.sparkSession, model)
     spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def spans(text: str, p: np.ndarray) -> list[dict[str, int]]:
         out: list[dict[str, int]] = []
         before = -2
-        # lower() can lengthen a text; words are matched in the text itself then
         found = [m.span() for m in WORD.finditer(text)]
-        if len(found) != len(p):
-            found = [m.span() for m in WORD.finditer(text.lower())]
         for i in np.flatnonzero(p > 0.5).tolist():
             if i == before + 1:
                 out[-1]["end"] = found[i][1]
@@ -221,12 +223,11 @@ def score(docs: DataFrame, model: Tagger) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = held()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in slices(batch, rows=1000):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                got = model.marginals([WORD.findall(t.lower()) for t in texts])
+                got = model.marginals([words_of(t) for t in texts])
                 scores = pa.array([model.score(p) for p in got], pa.float64())
                 marked = pa.array([spans(t, p) if (p > 0.5).any() else [] for t, p in zip(texts, got, strict=True)], spans_type)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), scores, marked], ["doc_id", "score", "spans"])
@@ -236,6 +237,7 @@ def score(docs: DataFrame, model: Tagger) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels that may be learnt from; corners are as in score()."""
     docs = table(spark, sf_dir, "documents")
     got = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return got.select("doc_id", (~learns(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "spans")

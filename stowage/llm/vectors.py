@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut, table
+from stowage.llm.common import cut, ship, table
 
 #: Vectors the index is fitted on; every vector is indexed.
 SAMPLE = 20_000
@@ -123,7 +123,7 @@ def bins(sizes: np.ndarray, most: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
 
 def _search(rows: DataFrame, queries, k: int, index: Index, sizes: np.ndarray, probes: int) -> DataFrame:
     """Best k of each query in each bin it looks into. rows: (vec_id, v, list, code)."""
-    held, (first, count) = rows.sparkSession.sparkContext.broadcast(index), bins(sizes)
+    held, (first, count) = ship(rows.sparkSession, index), bins(sizes)
     wanted = -(-rows.where(queries).count() // QUERIES)
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, wanted))).cast("int")
 
@@ -133,10 +133,11 @@ def _search(rows: DataFrame, queries, k: int, index: Index, sizes: np.ndarray, p
             yield part.assign(bin=(first[at] + part.pop("spread").to_numpy() % count[at]).astype(np.int32))
 
     def probe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = held()
         for part in parts:
             for s in range(0, len(part), 256):
                 some = part.iloc[s : s + 256]
-                row, at = held.value.probes(_matrix(some["v"]), sizes, probes, LEAST_CANDIDATES)
+                row, at = index.probes(_matrix(some["v"]), sizes, probes, LEAST_CANDIDATES)
                 n = count[at]
                 row, lists = np.repeat(row, n), np.repeat(at, n)
                 bin_ = np.repeat(first[at], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -152,10 +153,11 @@ def _search(rows: DataFrame, queries, k: int, index: Index, sizes: np.ndarray, p
     def best(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if len(x) and len(q):
+            index = held()
             x = x.sort_values("vec_id", kind="stable")
             ids, v, lists = x["vec_id"].to_numpy(), _matrix(x["v"]), x["list"].to_numpy()
             codes = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
-            error = np.concatenate([(v[m] - held.value.decode(int(n), codes[m])) for n in np.unique(lists) for m in [np.flatnonzero(lists == n)]])
+            error = np.concatenate([(v[m] - index.decode(int(n), codes[m])) for n in np.unique(lists) for m in [np.flatnonzero(lists == n)]])
             usual = np.sqrt((error**2).mean())
             members = {int(n): np.flatnonzero(lists == n) for n in np.unique(lists)}
             for s in range(0, len(q), 64):
@@ -166,7 +168,7 @@ def _search(rows: DataFrame, queries, k: int, index: Index, sizes: np.ndarray, p
                 into = np.concatenate(some["lists"].tolist())
                 for n in np.intersect1d(into, list(members)).tolist():
                     who = row[into == n]
-                    near[np.ix_(who, members[n])] = held.value.approximate(qv[who], n, codes[members[n]])
+                    near[np.ix_(who, members[n])] = index.approximate(qv[who], n, codes[members[n]])
                 near[qid[:, None] == ids[None, :]] = -np.inf
                 last = min(RERANK * k, len(x)) - 1
                 least = -np.partition(-near, last, axis=1)[:, last]
@@ -199,11 +201,12 @@ def nearest(vectors: DataFrame, queries, k: int = 20, sample: int = SAMPLE, shar
         some = np.array([x.v for x in own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()], np.float64)
         index = Index(some, int(min(MOST_LISTS, max(1, LISTS * n**0.5))))
         probes = index.enough(some, k, share)
-        held = spark.sparkContext.broadcast(index)
+        held = ship(spark, index)
 
         def coded(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            index = held()
             for part in parts:
-                at, codes = held.value.code(_matrix(part["v"])) if len(part) else ([], [])
+                at, codes = index.code(_matrix(part["v"])) if len(part) else ([], [])
                 yield part.assign(list=np.array(at, np.int32), code=[c.tobytes() for c in codes])
 
         rows = cut(own.mapInPandas(coded, "vec_id long, v array<double>, list int, code binary"))

@@ -97,3 +97,26 @@ def test_pipeline(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id: r.n_tokens for r in out} == {i: len(encoder.encode(t)[0]) for i, t in texts.items()}
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).parents[2]
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+spark.range(1).mapInPandas(lambda x: x, "id long").count()  # workers begin where the package can't be found
+sys.path.insert(0, {str(repo)!r})
+from stowage.llm import queries
+for name in ("op1_chat_format", "op2_suffix_dedup", "op4_simhash_near_dedup", "op5_language_id", "op6_nearest_neighbours", "op8_toxicity", "op10_sentencepiece"):
+    assert queries.QUERIES[name](spark, {SF!r}).count() > 0
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
