@@ -7,14 +7,13 @@ documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import decontaminate, langid, lines, pieces, simhash
-from stowage.llm.common import table
+from stowage.llm.common import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,14 +54,18 @@ STAGES = [
     ("sentencepiece", encoding),
 ]
 
-#: Suffix automata, MinHash and tokenisation can't be put in SQL; tests/llm holds the stages against brute force.
+#: Suffix automata, MinHash and tokenisation can't be put in SQL; tests/llm holds each operator against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    base, docs = f"{base}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read back.
+
+    Nulls, empty and very long texts, ties and repeated rows are as in the operators that the stages call. Columns of
+    documents beside its five are left out; no documents give no rows. The folder stays until the result has been read,
+    as it is read from there: whoever names the folder clears it.
+    """
+    base, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
