@@ -173,3 +173,53 @@ def a20_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots and grains of partitions of four sizes, at the default object and block size."""
     rows = spark.sql("select explode(array(1048576L, 1073741824L, 1099511627776L, 70368744177664L)) as part")
     return rows.selectExpr("part", "greatest(1L, least(1048576L, 4 * ((part + 16777215) div 16777216))) as nslots", "part div 16384 as grains")
+
+
+def store_check(copies: DataFrame, extents: DataFrame, bitmap: DataFrame, dirty: DataFrame) -> DataFrame:
+    """(rule, n): what a check of whole stores counts, and the problems that it finds; rules that find nothing count 0.
+
+    Records: live, tomb, corrupt, and bad ones. Grains: referred to, marked, phantom (referred to, not marked), leaked
+    (marked, not referred to), doubled (referred to more than once), zero (grain 0 not marked). Across: live objects
+    without an extent, extents of no live object, dirty records, and dirty records of no object.
+    Each table is read and shuffled by its key once; what is summed up is one row for each.
+    """
+    bad = (F.col("ver") < 1) | (F.col("wepoch") < 0) | ((F.col("state") == "tomb") & (F.col("len") != 0)) | (F.length("csum") != 64)
+    refs = extents.groupBy("grain").agg(F.count("*").alias("refs"))
+    grains = refs.join(bitmap.select("grain", F.lit(True).alias("marked")), "grain", "full_outer")
+    grains = grains.agg(
+        F.count("refs").alias("referred"),
+        F.count("marked").alias("marked"),
+        F.count_if(F.col("marked").isNull()).alias("phantom"),
+        F.count_if(F.col("refs").isNull() & (F.col("grain") != 0)).alias("leaked"),
+        F.count_if(F.col("refs") > 1).alias("doubled"),
+        (1 - F.count_if((F.col("grain") == 0) & F.col("marked"))).alias("zero"),
+    )
+    live = F.col("state") == "live"
+    records = copies.groupBy("oid").agg(F.count_if(live).alias("live"), F.count_if(F.col("state") == "tomb").alias("tomb"), F.count_if("corrupt").alias("corrupt"), F.count_if(bad).alias("bad"))
+    across = records.join(extents.groupBy("oid").agg(F.count("*").alias("extents")), "oid", "full_outer").join(dirty.groupBy("oid").agg(F.count("*").alias("dirty")), "oid", "full_outer")
+    across = across.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("live", "tomb", "corrupt", "bad")],
+        F.count_if((F.col("live") > 0) & F.col("extents").isNull()).alias("no_extent"),
+        F.count_if(F.col("extents").isNotNull() & (F.coalesce("live", F.lit(0)) == 0)).alias("no_live"),
+        F.coalesce(F.sum("dirty"), F.lit(0)).alias("dirty"),
+        F.coalesce(F.sum(F.when(F.col("live").isNull(), F.col("dirty"))), F.lit(0)).alias("dirty_of_none"),
+    )
+    names = [*grains.columns, *across.columns]
+    both = grains.join(F.broadcast(across))  # a row each
+    return both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).cast("long").alias("n")) for n in names])).alias("x")).select("x.rule", "x.n")
+
+
+@query(
+    "t8_store_check",
+    """WITH r AS (SELECT grain, count(*) AS refs FROM extents GROUP BY grain), g AS (SELECT grain, refs, b.grain IS NOT NULL AS marked FROM r FULL JOIN bitmap b USING (grain)),
+      o AS (SELECT oid, count(*) FILTER (state = 'live') AS live FROM copies GROUP BY oid)
+    SELECT 'referred' AS rule, count(refs) AS n FROM g UNION ALL SELECT 'marked', count(*) FILTER (marked) FROM g UNION ALL SELECT 'phantom', count(*) FILTER (NOT marked) FROM g
+    UNION ALL SELECT 'leaked', count(*) FILTER (refs IS NULL AND grain <> 0) FROM g UNION ALL SELECT 'doubled', count(*) FILTER (refs > 1) FROM g UNION ALL SELECT 'zero', 1 - count(*) FILTER (grain = 0) FROM bitmap
+    UNION ALL SELECT state, count(*) FROM copies WHERE state IN ('live', 'tomb') GROUP BY state UNION ALL SELECT 'corrupt', count(*) FILTER (corrupt) FROM copies
+    UNION ALL SELECT 'bad', count(*) FILTER (ver < 1 OR wepoch < 0 OR (state = 'tomb' AND len <> 0) OR length(csum) <> 64) FROM copies
+    UNION ALL SELECT 'no_extent', count(*) FROM o WHERE live > 0 AND oid NOT IN (SELECT oid FROM extents)
+    UNION ALL SELECT 'no_live', count(*) FROM (SELECT DISTINCT oid FROM extents WHERE oid NOT IN (SELECT oid FROM o WHERE live > 0))
+    UNION ALL SELECT 'dirty', count(*) FROM dirty UNION ALL SELECT 'dirty_of_none', count(*) FROM dirty WHERE oid NOT IN (SELECT oid FROM o)""",
+)
+def t8_store_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_check(inv.copies(spark, sf_dir), inv.extents(spark, sf_dir), inv.bitmap(spark, sf_dir), inv.dirty(spark, sf_dir))

@@ -81,6 +81,47 @@ def x4_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("oid").agg(F.count("*").alias("ver"), F.coalesce(reach, F.lit(0)).alias("len"))
 
 
+_ALIVE = "d AS (SELECT oid, max(seq) FILTER (op = 'delete') AS gone FROM oplog GROUP BY oid), a AS (SELECT o.oid, o.seq, o.op, o.off, o.n FROM oplog o JOIN d USING (oid) WHERE (gone IS NULL OR seq > gone) AND op IN ('create', 'write', 'trunc'))"
+
+
+def alive(log: DataFrame) -> DataFrame:
+    """The creations, writes and truncations of each object after its last delete."""
+    gone = log.where("op = 'delete'").groupBy("oid").agg(F.max("seq").alias("gone"))
+    return log.where("op in ('create', 'write', 'trunc')").join(gone, "oid", "left").where("gone is null or seq > gone").drop("gone")
+
+
+@query(
+    "x4_partial_fold",
+    f"""WITH {_ALIVE}, t AS (SELECT oid, max(seq) AS cut, max_by(off, seq) AS size FROM a WHERE op = 'trunc' GROUP BY oid)
+     SELECT a.oid, count(*) AS ver, greatest(coalesce(max(size), 0), coalesce(max(CASE WHEN op = 'write' AND (cut IS NULL OR seq > cut) THEN off + n END), 0)) AS len FROM a LEFT JOIN t USING (oid) GROUP BY a.oid""",
+)
+def x4_partial_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version and length of each object where a truncation is to its offset: the last one, and the writes after it, decide."""
+    rows = alive(inv.oplog(spark, sf_dir))
+    last = rows.where("op = 'trunc'").groupBy("oid").agg(F.max("seq").alias("cut"), F.max_by("off", "seq").alias("size"))
+    reach = F.max(F.when((F.col("op") == "write") & (F.col("cut").isNull() | (F.col("seq") > F.col("cut"))), F.col("off") + F.col("n")))
+    return rows.join(last, "oid", "left").groupBy("oid").agg(F.count("*").alias("ver"), F.greatest(F.coalesce(F.max("size"), F.lit(0)), F.coalesce(reach, F.lit(0))).alias("len"))
+
+
+@query(
+    "x2_partial_map",
+    f"""WITH {_ALIVE}, w AS (SELECT oid, off // 1024 AS blk, max(seq) AS seq FROM a WHERE op = 'write' GROUP BY 1, 2)
+     SELECT oid, blk, seq FROM w WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.op = 'trunc' AND a.oid = w.oid AND a.seq > w.seq AND a.off <= w.blk * 1024)""",
+)
+def x2_partial_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change that each block comes from where a truncation frees the blocks from its offset on.
+
+    Writes and truncations are summed up by offset first, so that what is ordered of an object is a row for each
+    offset, not its changes: a block stays if no truncation at or before it is later.
+    """
+    rows = alive(inv.oplog(spark, sf_dir)).where("op <> 'create'")
+    write = F.col("op") == "write"
+    by = rows.groupBy("oid", "off").agg(F.max(F.when(write, F.col("seq"))).alias("seq"), F.max(F.when(~write, F.col("seq"))).alias("cut"))
+    cut = F.max("cut").over(Window.partitionBy("oid").orderBy("off").rowsBetween(Window.unboundedPreceding, 0))
+    kept = by.select("oid", F.expr("off div 1024").alias("blk"), "seq", cut.alias("cut")).where("seq is not null and (cut is null or seq > cut)")
+    return kept.select("oid", "blk", "seq")
+
+
 @query("a18_dirty_fold", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY oid, op ORDER BY seq DESC) AS rn FROM (SELECT oid, seq, CASE WHEN op IN ('write', 'trunc') THEN 'n1.0' ELSE 'n2.0' END AS op, op <> 'delete' AS adds FROM oplog)) SELECT oid, op AS peer, seq AS epoch FROM r WHERE rn = 1 AND adds")
 def a18_dirty_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty records after a log of additions and removals: the last of each (object, peer), unless it removes."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,15 +92,39 @@ def s13_advert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.copies(spark, sf_dir).where("not corrupt").selectExpr("iid", f"{_ADVERT} as line")
 
 
-@query(
-    "s14_status",
-    """WITH t AS (SELECT count(*) FILTER (state = 'live') AS nlive, count(*) FILTER (state = 'tomb') AS ntomb, count(*) FILTER (corrupt) AS corrupt, CAST(sum(len) AS BIGINT) AS bytes FROM copies WHERE iid = 'n1.0')
-     SELECT 'nlive' AS name, nlive AS value FROM t UNION ALL SELECT 'ntomb', ntomb FROM t UNION ALL SELECT 'corrupt', corrupt FROM t UNION ALL SELECT 'bytes', bytes FROM t""",
-)
+#: What a status file says of an instance's configuration, in the order of its lines: parameters of status().
+CONFIG = {"monidmismatch": "no", "epochregress": "no", "msize": "65536", "objsnap": "full", "scrubnext": "0", "queues": "8", "writethrough": "no", "flush": "sync", "broken": "no"}
+STATUS = ["iid", "uuid", "monid", "monidmismatch", "status", "up", "fence", "epoch", "epochregress", "msize", "objsnap", "objsnapopen", "dirty", "lost", "diverged", "scrubnext", "staged", "queues", "qdepth", "qpushed", "qdone", "writethrough", "flush", "broken"]
+
+
+def status(iid: str, monid: str, members: DataFrame, copies: DataFrame, dirty: DataFrame, log: DataFrame, done: int, config: dict[str, str] = CONFIG) -> DataFrame:
+    """(name, value): the 24 lines of an instance's status file.
+
+    Counts are single-row sums of its own records: corrupt ones are lost, those whose content differs from another
+    copy of the same key are diverged, changes after sequence number `done` wait in the queues.
+    """
+    own = copies.where(F.col("iid") == iid)
+    differ = copies.where("not corrupt").groupBy("oid", *KEY).agg(F.count_if(F.col("iid") == iid).alias("mine"), (F.min("csum") != F.max("csum")).alias("differ"))
+    sums = own.agg(F.max("wepoch").alias("epoch"), F.count_if("corrupt").alias("lost"), F.count_if(F.col("state") == "live").alias("objsnapopen"))
+    sums = sums.join(differ.agg(F.count_if((F.col("mine") > 0) & F.col("differ")).alias("diverged"))).join(dirty.agg(F.count("*").alias("dirty")))
+    sums = sums.join(log.agg(F.count("*").alias("qpushed"), F.count_if(F.col("seq") <= done).alias("qdone"), F.count_if((F.col("op") == "write") & (F.col("seq") > done)).alias("staged")))
+    me = members.where(F.col("iid") == iid).select("status", "up", F.when(F.col("fenced"), "operator").otherwise("none").alias("fence"))
+    row = sums.join(F.broadcast(me)).withColumn("qdepth", F.col("qpushed") - F.col("qdone"))
+    row = row.withColumns({k: F.lit(v) for k, v in config.items()} | {"iid": F.lit(iid), "uuid": F.md5(F.lit(iid)), "monid": F.lit(monid)})
+    lines = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in STATUS])
+    return row.select(F.explode(lines).alias("x")).select("x.name", "x.value")
+
+
+_STATUS_SQL = {"iid": "'n1.0'", "uuid": "md5('n1.0')", "monid": "md5('monitor')", "epoch": "max(wepoch)", "lost": "count(*) FILTER (corrupt)", "objsnapopen": "count(*) FILTER (state = 'live')"} | {k: f"'{v}'" for k, v in CONFIG.items()}
+_STATUS_SQL |= {k: f"(SELECT {k} FROM inst WHERE iid = 'n1.0')" for k in ("status", "up")} | {"fence": "(SELECT CASE WHEN fenced THEN 'operator' ELSE 'none' END FROM inst WHERE iid = 'n1.0')", "dirty": "(SELECT count(*) FROM dirty)"}
+_STATUS_SQL |= {"qpushed": "(SELECT count(*) FROM oplog)", "qdone": "(SELECT count(*) FROM oplog WHERE seq <= 500)", "qdepth": "(SELECT count(*) FROM oplog WHERE seq > 500)", "staged": "(SELECT count(*) FROM oplog WHERE seq > 500 AND op = 'write')"}
+_STATUS_SQL["diverged"] = "(SELECT count(*) FROM (SELECT 1 FROM copies WHERE NOT corrupt GROUP BY oid, wepoch, ver HAVING bool_or(iid = 'n1.0') AND min(csum) <> max(csum)))"
+
+
+@query("s14_status", f"WITH t AS (SELECT {', '.join(f'CAST({_STATUS_SQL[n]} AS VARCHAR) AS {chr(34)}{n}{chr(34)}' for n in STATUS)} FROM copies WHERE iid = 'n1.0') {' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS name, {chr(34)}{n}{chr(34)} AS value FROM t' for n in STATUS)}")
 def s14_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = inv.copies(spark, sf_dir).where("iid = 'n1.0'")
-    totals = own.agg(F.count_if(F.col("state") == "live").alias("nlive"), F.count_if(F.col("state") == "tomb").alias("ntomb"), F.count_if("corrupt").alias("corrupt"), F.sum("len").alias("bytes"))
-    return totals.selectExpr("stack(4, 'nlive', nlive, 'ntomb', ntomb, 'corrupt', corrupt, 'bytes', bytes) as (name, value)")
+    """The status file of n1.0, with the changes up to the 500th done."""
+    return status("n1.0", hashlib.md5(b"monitor").hexdigest(), inv.inst(spark), inv.copies(spark, sf_dir), inv.dirty(spark, sf_dir), inv.oplog(spark, sf_dir), 500)
 
 
 @query("s16_dirty_file", "SELECT 'oid=' || oid || ' peer=' || peer || ' epoch=' || epoch AS line FROM dirty UNION ALL SELECT 'fullsync peer=' || iid FROM inst WHERE up = 'no'")
