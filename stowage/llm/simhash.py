@@ -117,12 +117,12 @@ def _bucket_links(radius: int):
     return run
 
 
-def _buckets(rows: DataFrame, keys: list[str], masks: list[int], name: str) -> tuple[list[str], DataFrame]:
-    """rows (*keys, fp) filed once for each mask, of the buckets with several fingerprints, with their number n."""
+def _buckets(rows: DataFrame, keys: list[str], masks: list[int], name: str) -> tuple[list[str], DataFrame, DataFrame]:
+    """Columns of a bucket, rows (*keys, fp) filed once for each mask, and the buckets with several fingerprints, with their number n."""
     tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
     filed = rows.select(*keys, "fp", F.explode(tables).alias("x")).select(*keys, F.col("x.t").alias(f"t{name}"), F.col("x.key").alias(f"key{name}"), "fp")
     own = [*keys, f"t{name}", f"key{name}"]
-    return own, filed.join(filed.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1"), own)
+    return own, filed, cut(filed.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1"))
 
 
 def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
@@ -135,10 +135,12 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     than two blocks, and each comparison returns a spanning forest and not all pairs.
     """
     spark, none = fps.sparkSession, F.lit(0).cast("long")
-    keys, first = _buckets(fps.select("fp"), [], covering_masks(radius), "")
-    small = first.where(F.col("n") <= block).select(*keys, none.alias("t2"), none.alias("key2"), "n", "fp")
-    again, second = _buckets(first.where(F.col("n") > block).select(*keys, "fp"), keys, covering_masks(radius, 4), "2")
-    rows = small.union(second.select(*again, "n", "fp"))
+    keys, filed, sizes = _buckets(fps.select("fp"), [], covering_masks(radius), "")
+    large = sizes.where(F.col("n") > block)
+    rows = filed.join(sizes.where(F.col("n") <= block), keys).select(*keys, none.alias("t2"), none.alias("key2"), "n", "fp")
+    if not large.isEmpty():
+        again, refiled, sizes = _buckets(filed.join(large, keys).select(*keys, "fp"), keys, covering_masks(radius, 4), "2")
+        rows = rows.union(refiled.join(sizes, again).select(*again, "n", "fp"))
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("t", "key", F.xxhash64("t2", "key2", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "fp")
