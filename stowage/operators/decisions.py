@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.operators.placement import bounded
 from stowage.plans.registry import query
 from stowage.sources import inventory as inv
 
@@ -144,7 +145,7 @@ _ATTACHES = ["role=client", "role=instance iid=n1.0 epoch=7", "role=instance iid
 )
 def p7_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(x,) for x in _ATTACHES], "text string").withColumn("kv", F.str_to_map("text", F.lit(" "), F.lit("=")))
-    known = [x.iid for x in inv.inst(spark).select("iid").collect()]  # a map's members
+    known = [x.iid for x in bounded(inv.inst(spark).select("iid"))]  # a map's members
     role = F.coalesce(F.try_element_at("kv", F.lit("role")), F.lit(""))
     epoch = F.try_element_at("kv", F.lit("epoch")).try_cast("long")
     verdict = F.when(~role.isin("client", "instance", "admin"), "bad role").when(role != "instance", "ok").when(epoch < 7, "stale epoch").when(epoch > 7, "future epoch").when(~F.try_element_at("kv", F.lit("iid")).isin(known), "not a member").otherwise("ok")
@@ -249,7 +250,7 @@ def x8_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = inv.copies(spark, sf_dir)
     form = F.when(F.col("corrupt"), "corrupt").otherwise(F.concat_ws(" ", "state", "wepoch", "ver"))
     held = copies.groupBy("oid").agg(F.map_from_entries(F.collect_list(F.struct("iid", form.alias("f")))).alias("m"))
-    members = F.array(*[F.lit(x.iid) for x in inv.inst(spark).select("iid").collect()])
+    members = F.array(*[F.lit(x.iid) for x in bounded(inv.inst(spark).select("iid"))])
     rows = held.select("oid", "m", F.explode(members).alias("iid"))
     return rows.select("iid", "oid", F.coalesce(F.try_element_at("m", F.col("iid")), F.lit("absent")).alias("meta"))
 

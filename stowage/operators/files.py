@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions.digest import INSTANCE, NODE, score
-from stowage.operators.placement import placement, sql_placed
+from stowage.operators.placement import bounded, placement, sql_placed
 from stowage.plans.registry import query
 from stowage.sources import inventory as inv
 
@@ -53,7 +53,7 @@ def s8_peers_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s11_meta_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line that an instance shows for each live object; placement and primary come from one member list."""
     members = inv.inst(spark)
-    up = [x.iid for x in members.where("up = 'yes'").select("iid").collect()]  # a map's members
+    up = [x.iid for x in bounded(members.where("up = 'yes'").select("iid"))]
     rows = inv.copies(spark, sf_dir).where("state = 'live' and not corrupt").withColumn("p", placement(members, F.col("oid"), 2, "sha256"))
     first = F.coalesce(F.get(F.filter("p", lambda i: i.isin(up)), F.lit(0)), F.lit("-"))
     at = F.when(F.size("p") > 0, F.array_join("p", ",")).otherwise("-")

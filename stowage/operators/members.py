@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowage.operators.placement import placement, sql_placed, strays
+from stowage.operators.placement import bounded, placement, sql_placed, strays
 from stowage.plans.registry import query
 from stowage.sources import inventory as inv
 
@@ -216,9 +216,9 @@ def witnesses(objects: DataFrame, members: DataFrame, before: DataFrame | None,
     are up or healing; of those that are down a reporter blocks, others are skipped. Members and ledger are
     bounded by the map, so all is worked out in each object's row; strays (oid, iid) are joined by object.
     """
-    rows = members.where("status <> 'dead'").select("iid", "up").collect()  # a map's members
-    marks = [(x.subject, x.reporter) for x in ledger.collect()]
-    known = [x.iid for x in members.select("iid").collect()]
+    rows = bounded(members.where("status <> 'dead'").select("iid", "up"))
+    marks = [(x.subject, x.reporter) for x in bounded(ledger)]
+    known = [x.iid for x in bounded(members.select("iid"))]
     p, none = placement(members, F.col("oid"), replicas, profile), F.array().cast("array<string>")
     q = none if before is None else F.filter(placement(before, F.col("oid"), replicas, profile), lambda i: i.isin(known))
     objects = objects.select("oid")

@@ -14,6 +14,18 @@ from stowage.plans.registry import query
 from stowage.sources import inventory as inv
 
 
+#: Members that a map has at most; whatever is worked out in an object's own row is bounded by it.
+MEMBERS = 4096
+
+
+def bounded(members: DataFrame) -> list:
+    """The rows of a map's members, marks or the like; more than a map can have are refused."""
+    rows = members.limit(MEMBERS + 1).collect()
+    if len(rows) > MEMBERS:
+        raise ValueError(f"a map has at most {MEMBERS} members")
+    return rows
+
+
 def placement(members: DataFrame, oid: Column, replicas: int, profile: str = "blake2s") -> Column:
     """The ordered list of instances of an object.
 
@@ -21,7 +33,7 @@ def placement(members: DataFrame, oid: Column, replicas: int, profile: str = "bl
     their best instance. Scores are fixed-width hex, so the greatest structure is the greatest score.
     """
     nodes: dict[str, list[str]] = {}
-    for x in sorted((x.node, x.iid) for x in members.where("status = 'in'").select("node", "iid").collect()):  # a map's members
+    for x in sorted((x.node, x.iid) for x in bounded(members.where("status = 'in'").select("node", "iid"))):
         nodes.setdefault(x[0], []).append(x[1])
 
     def ranked(node: str) -> Column:
@@ -45,7 +57,7 @@ def placed(objects: DataFrame, members: DataFrame, replicas: int, profile: str =
 
 def primary(objects: DataFrame, members: DataFrame, replicas: int, profile: str = "blake2s") -> DataFrame:
     """(oid, primary): the first of the placement that is up; null if none is."""
-    up = [x.iid for x in members.where("up = 'yes'").select("iid").collect()]
+    up = [x.iid for x in bounded(members.where("up = 'yes'").select("iid"))]
     first = F.get(F.filter("placement", lambda i: i.isin(up)), F.lit(0))
     return place(objects, members, replicas, profile).select("oid", first.alias("primary"))
 

@@ -60,3 +60,9 @@ def test_a_flipped_byte(spark):
     objects = spark.createDataFrame([("a", content)], "oid string, content binary")
     digests = b"".join(hashlib.blake2s(content[k : k + 64], digest_size=16).digest() for k in range(0, 199, 64))
     assert audit.checksums(objects, 64).first().csum == hashlib.blake2s(digests).hexdigest()
+
+
+def test_a_map_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(placement, "MEMBERS", 4)
+    with pytest.raises(ValueError, match="at most 4"):
+        placement.placement(inventory.inst_prev(spark), F.col("oid"), 2)
