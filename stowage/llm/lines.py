@@ -17,6 +17,8 @@ from stowage.llm.components import connected_components
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 6, 3, 0.8
 #: Shingles that are hashed for one row of the signature aggregation, a power of two.
 STEP = 4
+#: Lines of a bucket that are compared in one piece; larger buckets go in pairs of blocks.
+BLOCK = 1024
 #: Words of 64 bits in which two lines' shingles are compared before the shingles are.
 WORDS = 32
 #: Rows of two longs that are broadcast at most.
@@ -154,7 +156,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     roots = cut(connected_components(cut(_similar(star, texts, shingle, similarity))))
 
     label = member.join(roots, member["h"] == roots["node"], "left").select("key", "h", F.coalesce("root", "h").alias("label"))
-    mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key")
+    mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key", "n")
     label = cut(label.join(mixed, "key"))
     some = texts.join(label.select("h").distinct(), "h")
     rest = _pairs(label.join(cut(parities(some, shingle)), "h"), similarity)
@@ -170,14 +172,23 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
 
 
 def _pairs(label: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) for members (key, h, label, size, bits) of a bucket whose labels differ and that may be as similar."""
-    other = label.select("key", F.col("h").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("bits").alias("other"))
+    """(a, b) for members (key, h, label, n, size, bits) of a bucket of n whose labels differ and that may be as similar.
+
+    A bucket is cut into blocks of about BLOCK, and each pair of blocks is dealt apart.
+    """
+    label = label.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    label = label.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    label = label.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "h", "label", "size", "bits")
+    keys = ["key", "low", "high"]
+    other = label.select(*keys, F.col("own").alias("ob"), F.col("h").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("bits").alias("other"))
     differ = sum((F.bit_count(F.col("bits")[f"k{w}"].bitwiseXOR(F.col("other")[f"k{w}"])) for w in range(1, WORDS)), F.bit_count(F.col("bits")["k0"].bitwiseXOR(F.col("other")["k0"])))
     # of sets of a and b elements with J >= s, at most (a + b)(1 - s) / (1 + s) are in only one; the rest is for rounding
     close = differ * F.lit(1 + similarity) <= (F.col("size") + F.col("sb")) * F.lit(1 - similarity) + F.lit(1e-6)
     mine = label.withColumnsRenamed({"h": "a", "label": "la"})
     sizes = F.least("size", "sb") >= F.lit(similarity) * F.greatest("size", "sb")
-    return mine.join(other, (mine["key"] == other["key"]) & (F.col("la") < F.col("lb")) & sizes & close).select("a", "b").distinct()
+    here = (F.least("own", "ob") == mine["low"]) & (F.greatest("own", "ob") == mine["high"])
+    same = (mine["key"] == other["key"]) & (mine["low"] == other["low"]) & (mine["high"] == other["high"])
+    return mine.join(other, same & (F.col("la") < F.col("lb")) & here & sizes & close).select("a", "b").distinct()
 
 
 def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
