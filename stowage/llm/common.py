@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import re
 import tempfile
@@ -50,6 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files (and checkpoints, where Spark cleans them) of steps that are done.
+
+    Spark removes them when the driver's garbage is collected, which a driver with little to do may put off for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """Broadcast a value together with its class, so that executors need no copy of this package; the result gives it."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut, fresh, partitions, table
+from stowage.llm.common import cut, fresh, partitions, release, table
 from stowage.llm.components import connected_components
 
 #: Characters of a shingle, bands and rows of a band: at similarity 0.8, 98.6 % of pairs share a band; at 0.9, 99.96 %.
@@ -150,6 +150,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     root: the component; first: least doc_id of the line; keeper: whether it is the component's one line.
     """
     found = cut(candidates(docs, shingle, bands, rows))
+    release(docs.sparkSession)  # of the signatures
     member = found.where("key is not null")
     star = member.where("h <> center").select(F.col("center").alias("a"), F.col("h").alias("b")).distinct()
     texts = cut(_texts(docs, cut(member.groupBy("h").agg(F.min("first").alias("doc_id"))), shingle))
@@ -211,6 +212,8 @@ def removals(docs: DataFrame, rows: DataFrame | None = None, **parameters) -> Da
     at = (hashed(docs) if rows is None else rows).select("doc_id", "row", F.explode("hs").alias("h"))
     at = at.join(found.hint("shuffle_hash"), "h").select("doc_id", "row", "h", (F.col("keeper") & (F.col("doc_id") == F.col("first"))).alias("stays"))
     at = cut(at)
+    del found
+    release(docs.sparkSession)  # of the comparisons
     # rows of one doc_id, or without any, can all seem to keep a line
     several = at.where("stays").groupBy("h").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most")
     more = at.where("stays").join(several, "h").where("row > least").select("doc_id", "row", "h")
