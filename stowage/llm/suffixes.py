@@ -9,8 +9,8 @@ is alone in its group is done. Digits are dealt in two rounds:
    leaves one entry for about fourteen suffixes; each chunk of documents sends its distinct digits once.
 2. Where a digit occurs in two documents, the bytes around it follow. They are ordered byte by byte, to the
    right and to the left of the digit, and each of the windows around it takes the pair of its two groups. The
-   contexts of a digit that over HOT chunks have would be one large group: there each window is a digit of its own,
-   dealt by 128 bits of its hash.
+   contexts of a digit that occurs over HOT times would be one large group: there each window is a digit of its
+   own, dealt by 128 bits of its hash.
 
 This is a partition refinement with the digits of a suffix taken in an order of their own, first the chosen 24 bytes,
 then those around them. The order of passes decides how groups are ordered, not what is in them: two suffixes are in
@@ -40,8 +40,8 @@ from stowage.llm.common import partitions, table
 THRESHOLD, DIGIT = 50, 24
 #: Bytes of text that are worked on together (a longer document is a chunk of its own), and chunks for each bucket of digits.
 CHUNK, SHARE = 4 << 20, 2
-#: Chunks over which a digit's contexts aren't gathered in one group.
-HOT = 64
+#: Occurrences over which a digit's contexts aren't gathered in one group: 6 MB of contexts, about what a bucket holds.
+HOT = 1 << 16
 #: Bytes of text in a partition, at most, but for a longer document.
 PARTITION = 64 << 20
 #: Windows whose digits are chosen in one step.
@@ -123,13 +123,13 @@ class Chunk:
         for s, e in zip(order, [*order[1:], len(bucket)], strict=True):
             yield int(bucket[s]), slice(int(s), int(e))
 
-    def first(self) -> np.ndarray:
-        """For each distinct digit: twice its hash, and one if it is in two documents of the chunk."""
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct digit: twice its hash, and one if it is in two documents of the chunk; how often it occurs."""
         ids = self.ids[self.doc]
         least, most = np.full(len(self.short), NO_ID), np.full(len(self.short), -NO_ID - 1)
         np.minimum.at(least, self.of, ids)
         np.maximum.at(most, self.of, ids)
-        return self.short << np.uint64(1) | (least < most).astype(np.uint64)
+        return self.short << np.uint64(1) | (least < most).astype(np.uint64), np.bincount(self.of, minlength=len(self.short))
 
     def repeated(self, answers: pd.DataFrame, buckets: int) -> None:
         """Keep the digits that the answers of the first round call repeated, with what stands around them."""
@@ -222,23 +222,23 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+def _pack(values: np.ndarray, counts: np.ndarray) -> bytes:
+    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8).T for x in (np.diff(values, prepend=np.uint64(0)), counts)]
+    return zlib.compress(np.concatenate(planes).tobytes(), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(16, -1)
+    steps, counts = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in (planes[:8], planes[8:]))
+    return np.cumsum(steps, dtype=np.uint64), counts.astype(np.int64)
 
 
 def _answer_first(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Two bits for each digit that a chunk has sent: it is in two documents, and over HOT chunks have it."""
+    """Two bits for each digit that a chunk has sent: it is in two documents, and it occurs over HOT times."""
     _release()
-    sent = [_unpack(x) for x in pdf["data"]]
+    sent, times = zip(*[_unpack(x) for x in pdf["data"]], strict=True)
     values, which = np.unique(np.concatenate(sent) >> np.uint64(1), return_inverse=True)
-    chunks = np.bincount(which)
-    twice, hot = chunks > 1, chunks > HOT
+    twice, hot = np.bincount(which) > 1, np.bincount(which, np.concatenate(times)) > HOT
     twice[which[(np.concatenate(sent) & np.uint64(1)).astype(bool)]] = True
     ends = np.cumsum([len(x) for x in sent])[:-1]
     bits = zip(np.split(twice[which], ends), np.split(hot[which], ends), strict=True)
@@ -345,8 +345,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, texts: bool = Tr
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(pdf, threshold)
-        values = chunk.first()
-        found = [(int(pdf["chunk"].iloc[0]), b, _pack(values[s])) for b, s in chunk.split(chunk.short, buckets)]
+        values, times = chunk.first()
+        found = [(int(pdf["chunk"].iloc[0]), b, _pack(values[s], times[s])) for b, s in chunk.split(chunk.short, buckets)]
         return pd.DataFrame(found, columns=["chunk", "bucket", "data"])
 
     def second(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:

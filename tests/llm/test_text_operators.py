@@ -122,7 +122,7 @@ def test_chat_edges(spark):
 # --- suffixes
 
 
-@pytest.mark.parametrize("hot", [0, 2, 64])
+@pytest.mark.parametrize("hot", [0, 2, 1 << 16])
 def test_suffixes(spark, corpus, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "CHUNK", 1500)
@@ -159,7 +159,7 @@ def test_contexts_of_a_notice_are_not_one_group(spark, monkeypatch):
     rows = [(i, words(rng, 40, 30000) + " " + notice + " " + words(rng, 40, 30000)) for i in range(3000)]
     groups = []
     chunks = [suffixes.Chunk(pd.DataFrame(rows[k : k + 100], columns=["doc_id", "text"]), 50) for k in range(0, 3000, 100)]
-    sent = pd.DataFrame([(c, 0, suffixes._pack(x.first())) for c, x in enumerate(chunks)], columns=["chunk", "bucket", "data"])
+    sent = pd.DataFrame([(c, 0, suffixes._pack(*x.first())) for c, x in enumerate(chunks)], columns=["chunk", "bucket", "data"])
     answers = suffixes._answer_first(sent)
     for c, x in enumerate(chunks):
         x.repeated(answers[answers["chunk"] == c], 1)
