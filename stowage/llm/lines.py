@@ -15,8 +15,8 @@ from stowage.llm.components import connected_components
 
 #: Characters of a shingle, bands and rows of a band: at similarity 0.8, 98.6 % of pairs share a band; at 0.9, 99.96 %.
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 6, 3, 0.8
-#: Shingles that are hashed for one row of the signature aggregation, a power of two.
-STEP = 4
+#: Shingles that are hashed for one row of the signature aggregation, two at least.
+STEP = 16
 #: Lines of a bucket that are compared in one piece; larger buckets go in pairs of blocks.
 BLOCK = 1024
 #: Words of 64 bits in which two lines' shingles are compared before the shingles are.
@@ -70,13 +70,9 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     at = lambda j: F.least(F.col("i") + 2 * j, F.col("last")) if j else F.col("i")
     found = found.select("doc_id", "h", "i", *[F.xxhash64(F.substring("p", at(j), F.lit(2 * shingle))).alias(f"x{j}") for j in range(STEP)])
     found = found.select("*", *[F.xxhash64(f"x{j}").alias(f"y{j}") for j in range(STEP)])
-    # if() of two columns compiles to a comparison of two locals; least() does not
-    found = found.select("doc_id", "h", "i", *[F.col(f"x{j}").bitwiseXOR(F.shiftleft(f"y{j}", k * apart)).alias(f"m{k}_{j}") for k in each for j in range(STEP)])
-    n = STEP
-    while n > 1:
-        n //= 2
-        found = found.select("doc_id", "h", "i", *[F.expr(f"if(m{k}_{j} < m{k}_{j + n}, m{k}_{j}, m{k}_{j + n})").alias(f"m{k}_{j}") for k in each for j in range(n)])
-    found = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).alias("n"), *[F.min(f"m{k}_0").alias(f"s{k}") for k in each])
+    # within min(), each signature compiles to a method of its own; columns for all would make one method too large to compile well
+    least = lambda k: F.least(*[F.col(f"x{j}").bitwiseXOR(F.shiftleft(f"y{j}", k * apart)) for j in range(STEP)])
+    found = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).alias("n"), *[F.min(least(k)).alias(f"s{k}") for k in each])
     keys = [F.xxhash64(F.lit(b), *[F.col(f"s{b + r * bands}") for r in range(rows)]) for b in range(bands)]
     return found.select("h", "first", "n", F.array(*keys).alias("keys"))
 
@@ -85,7 +81,7 @@ def _texts(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
     """(h, line, size): one line of each hash in needed (h, doc_id), and how many different shingles it has."""
     if needed.count() <= BROADCAST:  # beyond it, both sides are dealt by hash
         needed = F.broadcast(needed)
-    text = _lines(docs).join(needed, ["h", "doc_id"]).dropDuplicates(["h"])
+    text = _lines(docs).join(needed, ["h", "doc_id"]).repartition("h").dropDuplicates(["h"])  # dealt first: few lines are twice in a document
     return text.select("h", "line", F.size(F.array_distinct(_shingles("line", shingle))).alias("size"))
 
 
@@ -128,11 +124,10 @@ def candidates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     center is the bucket's most frequent line.
     """
     known = signatures(docs, shingle, bands, rows)
-    # lines with n over 1 get a bucket of their own, so that all comes from one pass over the signatures
-    alone = F.struct(F.xxhash64(F.lit(-1), "h").alias("key"), F.lit(True).alias("alone"))
-    shared = F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(False).alias("alone")))
-    member = known.select(F.explode(F.when(F.col("n") > 1, F.concat(shared, F.array(alone))).otherwise(shared)).alias("x"), "h", "n", "first")
-    member = member.select("x.key", "x.alone", "h", "n", "first").repartition(partitions(docs.sparkSession), "key")
+    # lines with n over 1 get a bucket of their own, the last, so that all comes from one pass over the signatures
+    own = F.concat("keys", F.array(F.xxhash64(F.lit(-1), "h")))
+    member = known.select(F.posexplode(F.when(F.col("n") > 1, own).otherwise(F.col("keys"))).alias("at", "key"), "h", "n", "first")
+    member = member.select("key", (F.col("at") == bands).alias("alone"), "h", "n", "first").repartition(partitions(docs.sparkSession), "key")
     bucket = member.groupBy("key").agg(F.count("*").alias("members"), F.max_by("h", "n").alias("center"), F.max("alone").alias("some"), F.min("first").alias("least"))
     # `least` is asked for so that both sides of the join read the same columns and share one exchange
     bucket = bucket.where((F.col("members") > 1) | F.col("some")).where(F.col("least") >= F.lit(-(1 << 63))).select("key", "center")
@@ -144,7 +139,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     """(h, root, first, keeper) for each line hash that occurs more than once or is linked to another.
 
     Lines link if their shingle sets' similarity is at least `similarity` and a band of their signatures agrees.
-    In each bucket all members are compared with its most frequent line, then those that are still in
+    In each bucket all members are compared with its most frequent line, then the others that are still in
     different components with each other. The second comparison looks at 2048 bits first, which bound the
     similarity from above: no pair of the similarity asked for is passed over.
     root: the component; first: least doc_id of the line; keeper: whether it is the component's one line.
@@ -156,8 +151,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     texts = cut(_texts(docs, cut(member.groupBy("h").agg(F.min("first").alias("doc_id"))), shingle))
     roots = cut(connected_components(cut(_similar(star, texts, shingle, similarity))))
 
-    label = member.join(roots, member["h"] == roots["node"], "left").select("key", "h", F.coalesce("root", "h").alias("label"))
-    mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("key", "n")
+    # what the center is similar to is known
+    label = member.where("h <> center").join(roots, F.col("h") == roots["node"], "left").select("key", "h", F.coalesce("root", "h").alias("label"))
+    mixed = label.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
     label = cut(label.join(mixed, "key"))
     some = texts.join(label.select("h").distinct(), "h")
     rest = _pairs(label.join(cut(parities(some, shingle)), "h"), similarity)

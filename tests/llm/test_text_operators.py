@@ -594,6 +594,41 @@ def test_no_similar_pair_of_a_bucket_is_passed_over(spark, monkeypatch):
     assert all(root[10 * k + 1] == root[10 * k + 2] for k in range(200))
 
 
+def test_signatures_are_least_hashes_in_small_methods(spark, corpus, monkeypatch):
+    docs = frame(spark, [*corpus, (1, "a"), (2, "\U0001f600" * 20), (3, "abcdefgh"), (4, "abcdefghi")])
+    keys = lambda: {r["h"]: (r["first"], r["n"], r["keys"]) for r in lines.signatures(docs).collect()}
+    found = keys()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = lines.signatures(docs)._jdf.queryExecution().debug().codegenToSeq()
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 5000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    monkeypatch.setattr(lines, "STEP", 2)
+    assert found == keys()
+
+
+def test_pairs_with_a_center_are_compared_once(spark, monkeypatch):
+    rng = random.Random(9)
+    some = lambda n: "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+    rows = []
+    for k in range(20):
+        x = some(40)
+        rows += [(10 * k, x), (10 * k + 1, x + "0"), (10 * k + 2, some(40)), (10 * k + 3, some(40))]
+    docs = frame(spark, rows)
+    known = docs.selectExpr("doc_id div 10 as key", "xxhash64(text) as h", "doc_id % 10 = 0 as most", "doc_id as first")
+    center = known.where("most").selectExpr("key", "h as center")
+    found = known.join(center, "key").selectExpr("key", "h", "1 as n", "first", "center")
+    pairs, seen = lines._pairs, []
+    monkeypatch.setattr(lines, "candidates", lambda *_: found)
+    monkeypatch.setattr(lines, "_pairs", lambda label, similarity: seen.extend(r.h for r in label.collect()) or pairs(label, similarity))
+    root = {r["first"]: r.root for r in lines.components(docs).collect()}
+    assert sorted(root) == [10 * k + j for k in range(20) for j in (0, 1)]
+    first = {r.h: r["first"] for r in known.collect()}
+    assert sorted(first[h] for h in seen) == [10 * k + j for k in range(20) for j in (1, 2, 3)]
+
+
 def test_lines_edges(spark, corpus):
     out = lines.deduplicate(frame(spark, corpus))
     assert out.columns == frame(spark, []).columns and out.count() == len(corpus)
